@@ -3,46 +3,90 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Groups per refinement step, and the group size finished on the driver.
 GROUPS_PER_STEP = 4_096
 MAX_DRIVER_VALUES = 10_000
 
 
-def value_at_rank(values: DataFrame, rank: int) -> float:
-    """The value with ``rank`` smaller or equal values before it (0 is the least).
+@dataclass(frozen=True)
+class _Range:
+    lo: float
+    hi: float
+    size: int
 
-    ``values`` has one double column ``value`` without nulls. Each step counts
-    the rows of equal-width groups of the current range and goes on inside the
-    group that holds the rank; a group whose least and greatest value agree ends
-    it, so any number of equal values is one step.
+
+def _within(ranges: Sequence[_Range]) -> Column:
+    """Number of the range a value lies in; null outside all of them."""
+    place = F.lit(None).cast("int")
+    for at, r in enumerate(ranges):
+        place = F.when(F.col("value").between(r.lo, r.hi), at).otherwise(place)
+    return place
+
+
+def values_at_ranks(values: DataFrame, ranks: Callable[[int], Sequence[int]]) -> dict[int, float]:
+    """The values that have the given numbers of rows before them in sorted order.
+
+    ``values`` has one double column ``value`` without nulls; ``ranks`` is asked
+    with the row count. Each step counts the rows of equal-width groups of the
+    ranges that hold the ranks and goes on inside those groups, for all ranks
+    in one job. A group whose least and greatest value agree is done, so any
+    number of equal values takes one step.
     """
-    bounds = values.agg(F.min("value").alias("lo"), F.max("value").alias("hi")).first()
-    lo, hi = bounds["lo"], bounds["hi"]
-    while lo < hi:
-        inside = values.filter(F.col("value").between(lo, hi))
-        group = F.least(
-            F.floor((F.col("value") - lo) / (hi - lo) * GROUPS_PER_STEP), F.lit(GROUPS_PER_STEP - 1)
-        )
-        # At most GROUPS_PER_STEP rows.
-        groups = (
-            inside.groupBy(group.alias("group"))
-            .agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-            .collect()
-        )
-        for row in sorted(groups, key=lambda r: r["group"]):
-            if rank < row["n"]:
-                lo, hi, size = row["lo"], row["hi"], row["n"]
-                break
-            rank -= row["n"]
-        if lo < hi and size <= MAX_DRIVER_VALUES:
-            found = values.filter(F.col("value").between(lo, hi)).collect()
-            return sorted(row["value"] for row in found)[rank]
-    return lo
+    bounds = values.agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).first()
+    whole = _Range(bounds["lo"], bounds["hi"], bounds["n"])
+    # Asked rank -> (range that holds it, rank inside that range).
+    pending = {rank: (whole, rank) for rank in ranks(whole.size)}
+    found: dict[int, float] = {}
+    while pending:
+        for rank, (r, _) in list(pending.items()):
+            if r.lo == r.hi:
+                found[rank] = r.lo
+                del pending[rank]
+        ranges = sorted({r for r, _ in pending.values()}, key=lambda r: r.lo)
+        small = [r for r in ranges if r.size <= MAX_DRIVER_VALUES]
+        if small:
+            inside = values.select("value", _within(small).alias("range")).filter("range is not null").collect()
+            for at, r in enumerate(small):
+                ordered = sorted(row["value"] for row in inside if row["range"] == at)
+                for rank, (held_by, inner) in list(pending.items()):
+                    if held_by == r:
+                        found[rank] = ordered[inner]
+                        del pending[rank]
+        large = [r for r in ranges if r not in small]
+        if large:
+            groups = _group_counts(values, large)
+            for rank, (r, inner) in list(pending.items()):
+                for group in groups[large.index(r)]:
+                    if inner < group.size:
+                        pending[rank] = (group, inner)
+                        break
+                    inner -= group.size
+    return found
+
+
+def _group_counts(values: DataFrame, ranges: Sequence[_Range]) -> list[list[_Range]]:
+    """Equal-width groups of each range with their rows and true bounds, ascending."""
+    lo = F.element_at(F.array(*(F.lit(r.lo) for r in ranges)), F.col("range") + 1)
+    width = F.element_at(F.array(*(F.lit(r.hi - r.lo) for r in ranges)), F.col("range") + 1)
+    group = F.least(F.floor((F.col("value") - lo) / width * GROUPS_PER_STEP), F.lit(GROUPS_PER_STEP - 1))
+    # At most GROUPS_PER_STEP rows per range.
+    rows = (
+        values.select("value", _within(ranges).alias("range"))
+        .filter("range is not null")
+        .groupBy("range", group.alias("group"))
+        .agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        .collect()
+    )
+    groups: list[list[_Range]] = [[] for _ in ranges]
+    for row in sorted(rows, key=lambda r: (r["range"], r["group"])):
+        groups[row["range"]].append(_Range(row["lo"], row["hi"], row["n"]))
+    return groups
 
 
 def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[Fraction]) -> list[float | None]:
@@ -53,15 +97,19 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[Fraction
     """
     value = F.col(column).cast("double")
     values = df.select(value.alias("value")).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    n = values.count()
-    if n == 0:
+    places: list[Fraction] = []
+
+    def ranks(n: int) -> list[int]:
+        if n == 0:
+            return []
+        places.extend((n - 1) * Fraction(p) for p in probabilities)
+        return [rank for place in places for rank in {math.floor(place), math.ceil(place)}]
+
+    found = values_at_ranks(values, ranks)
+    if not places:
         return [None] * len(probabilities)
     results = []
-    for p in probabilities:
-        place = (n - 1) * Fraction(p)
-        below = math.floor(place)
-        part = float(place - below)
-        low = value_at_rank(values, below)
-        high = value_at_rank(values, below + 1) if part else low
-        results.append(low if low == high else low + (high - low) * part)
+    for place in places:
+        low, high = found[math.floor(place)], found[math.ceil(place)]
+        results.append(low if low == high else low + (high - low) * float(place - math.floor(place)))
     return results

@@ -1,8 +1,9 @@
-"""The stored journey table that all reports read."""
+"""Tables that several reports share, each written once."""
 
 from __future__ import annotations
 
 import threading
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,33 +12,46 @@ from lapsekit.session import new_path
 from lapsekit.sources.star_schema import TABLES, journey_inputs
 from lapsekit.sources.tables import read_table
 
-_built: dict[tuple, str] = {}
-_lock = threading.Lock()
+_paths: dict[tuple, str] = {}
+_lock = threading.RLock()
 
 
-def _state_of(spark: SparkSession, folder: str) -> tuple:
-    """Size and change time of the input tables, to notice that they changed."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+def _path_and_fs(spark: SparkSession, path: str):
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def input_state(spark: SparkSession, folder: str) -> tuple:
+    """Session, folder, and size and change time of its tables, to notice changes."""
     state = []
     for name in TABLES:
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}.parquet")
-        fs = path.getFileSystem(conf)
+        path, fs = _path_and_fs(spark, f"{folder.rstrip('/')}/{name}.parquet")
         state.append((fs.getContentSummary(path).getLength(), fs.getFileStatus(path).getModificationTime()))
-    return tuple(state)
+    return (spark.sparkContext.applicationId, folder, *state)
 
 
-def stored_journeys(spark: SparkSession, folder: str) -> DataFrame:
-    """The journey table of the star-schema tables in ``folder``.
+def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``name`` of ``folder``; built and written if it is not there yet.
 
-    Built once per session and state of the inputs and then read by every
-    report, as one would keep it on a cluster: the big joins over encounters
-    run once, and each report scans only its own columns.
+    One table per session and state of the inputs, in the folder the session
+    names for such data. Reports read it as they would a table kept on a
+    cluster: the work behind it runs once, each report scans its own columns,
+    and a lost executor costs a re-read.
     """
-    key = (spark.sparkContext.applicationId, folder, _state_of(spark, folder))
+    key = (*input_state(spark, folder), name)
     with _lock:
-        if key not in _built:
-            path = new_path(spark, "journeys")
-            build_journeys(journey_inputs(spark, folder)).write.parquet(path)
-            _built[key] = path
-    return read_table(spark, _built[key])
+        path = _paths.get(key)
+        if path is not None:
+            hadoop_path, fs = _path_and_fs(spark, path)
+            if not fs.exists(hadoop_path):
+                path = None
+        if path is None:
+            path = new_path(spark, name)
+            build().write.parquet(path)
+            _paths[key] = path
+    return read_table(spark, path)
+
+
+def stored_journeys(spark: SparkSession, folder: str) -> DataFrame:
+    """The journey table of the star-schema tables in ``folder``."""
+    return stored(spark, folder, "journeys", lambda: build_journeys(journey_inputs(spark, folder)))
