@@ -50,10 +50,16 @@ def roc_auc(scored: DataFrame, label: str = LABEL, score: str = SCORE) -> DataFr
     else:
         by_score = by_score.withColumn("range", F.lit(0.0))
 
-    # One row per range, at most SCORE_RANGES.
-    totals = by_score.groupBy("range").agg(F.sum("neg").alias("range_neg"))
+    # One row per range, at most SCORE_RANGES, with the totals before it and overall.
+    totals = by_score.groupBy("range").agg(F.sum("pos").alias("range_pos"), F.sum("neg").alias("range_neg"))
     earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("range", F.coalesce(F.sum("range_neg").over(earlier), F.lit(0)).alias("neg_before"))
+    overall = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = totals.select(
+        "range",
+        F.coalesce(F.sum("range_neg").over(earlier), F.lit(0)).alias("neg_before"),
+        F.sum("range_pos").over(overall).cast("double").alias("p"),
+        F.sum("range_neg").over(overall).cast("double").alias("n"),
+    )
 
     inside = Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     lower = F.col("neg_before") + F.coalesce(F.sum("neg").over(inside), F.lit(0))
@@ -61,13 +67,9 @@ def roc_auc(scored: DataFrame, label: str = LABEL, score: str = SCORE) -> DataFr
     twice = F.col("pos").cast("decimal(18,0)") * (2 * lower + F.col("neg")).cast("decimal(19,0)")
     return (
         by_score.join(F.broadcast(starts), "range")
-        .select("pos", "neg", twice.alias("twice"))
-        .agg(F.sum("twice").alias("twice"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-        .select(
-            F.try_divide(
-                F.col("twice").cast("double"), 2.0 * F.col("p").cast("double") * F.col("n").cast("double")
-            ).alias("auc")
-        )
+        .select("p", "n", twice.alias("twice"))
+        .agg(F.sum("twice").cast("double").alias("twice"), F.max("p").alias("p"), F.max("n").alias("n"))
+        .select(F.try_divide(F.col("twice"), 2.0 * F.col("p") * F.col("n")).alias("auc"))
     )
 
 

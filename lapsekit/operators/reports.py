@@ -60,32 +60,26 @@ def gap_report(
 ) -> DataFrame:
     """Journeys, patients, gap rate and median gap per value of ``key``.
 
-    One pass with two grouping sets. Per (key, patient) the rows are counted
-    towards the exact patient count; per (key, gap length) they collapse, before
-    any shuffle, to one row per day count, from which the median follows. A key
-    that holds most journeys is thus spread over its patients.
+    As in :func:`cohort_summary` the patients are counted apart from the other
+    measures. That count shuffles (key, patient) pairs, so a value of ``key``
+    that holds most journeys is spread over its patients; the measures send one
+    row per value and task. What is joined is the size of the report.
     """
-    is_patient_set = F.col("grouping_set") == 1
-    counted = journeys.groupingSets([(key, PATIENT), (key, "MaxGapDays")], key, PATIENT, "MaxGapDays").agg(
-        # Bits: key, patient, gap; a bit is 1 where the column is not in the set.
-        F.grouping_id().alias("grouping_set"),
-        F.count("*").alias("rows"),
-        F.sum(label).alias("gaps"),
-        F.count(label).alias("labelled"),
-    )
-    once = F.when(~is_patient_set, 1)
-    return (
-        counted.groupBy(key)
+    rate = rate_name(label)
+    measures = (
+        journeys.groupBy(key)
         .agg(
-            F.sum(once * F.col("rows")).alias("journeys"),
-            F.count(F.when(is_patient_set, F.col(PATIENT))).alias("patients"),
-            F.try_divide(F.sum(once * F.col("gaps")), F.sum(once * F.col("labelled"))).alias(rate_name(label)),
-            F.percentile(
-                F.when(~is_patient_set, F.col("MaxGapDays")), 0.5, F.col("rows")
-            ).alias("median_max_gap_days"),
+            F.count("*").alias("journeys"),
+            F.avg(label).alias(rate),
+            F.median("MaxGapDays").alias("median_max_gap_days"),
         )
         .filter(F.col("journeys") >= min_support)
-        .orderBy(F.desc_nulls_last(rate_name(label)), F.asc_nulls_last(key))
+    )
+    patients = journeys.groupBy(F.col(key).alias("_key")).agg(F.count_distinct(PATIENT).alias("patients"))
+    return (
+        measures.join(patients, F.col(key).eqNullSafe(F.col("_key")))
+        .select(key, "journeys", "patients", rate, "median_max_gap_days")
+        .orderBy(F.desc_nulls_last(rate), F.asc_nulls_last(key))
     )
 
 

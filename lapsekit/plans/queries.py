@@ -10,7 +10,7 @@ from pyspark.sql.types import DoubleType
 from lapsekit.functions import labels
 from lapsekit.operators import evaluate, forest, ranking
 from lapsekit.operators.build import build_journeys
-from lapsekit.operators.cohort import eligible, gap_groups, gap_values, observed
+from lapsekit.operators.cohort import eligible, gap_groups, gap_values
 from lapsekit.operators.frame import constant_columns, model_columns, model_frame, varying_features
 from lapsekit.operators.histogram import histogram
 from lapsekit.operators.lumping import lumped_levels
@@ -30,7 +30,6 @@ from lapsekit.operators.scoring import rate_scores
 from lapsekit.plans.store import input_state, stored, stored_journeys
 from lapsekit.session import new_path
 from lapsekit.settings import (
-    FEATURES,
     GROUPED_HISTOGRAM_BINS,
     HISTOGRAM_BINS,
     JOURNEY,
@@ -42,7 +41,7 @@ from lapsekit.settings import (
     SOCIAL_RISK_NAMES_RECORDED,
 )
 from lapsekit.sources.csv_reports import read_report, write_report
-from lapsekit.sources.star_schema import STAR_OBSERVATION_END, journey_inputs
+from lapsekit.sources.star_schema import journey_inputs
 from lapsekit.sources.tables import sql_report
 
 # Gaps over 180 days are nearly universal in these tables, so models learn the
@@ -67,12 +66,8 @@ def rounded(df: DataFrame) -> DataFrame:
     )
 
 
-def observed_journeys(spark: SparkSession, folder: str) -> DataFrame:
-    return observed(stored_journeys(spark, folder), STAR_OBSERVATION_END)
-
-
 def eligible_journeys(spark: SparkSession, folder: str) -> DataFrame:
-    return eligible(observed_journeys(spark, folder))
+    return eligible(stored_journeys(spark, folder))
 
 
 def model_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -191,7 +186,7 @@ def _on_test_scores(report: Callable[..., DataFrame]) -> Query:
 REGISTRY: dict[str, Query] = {
     "build_journeys": lambda spark, folder: build_journeys(journey_inputs(spark, folder)),
     "scan_journeys": scan_journeys,
-    "observed_base": observed_journeys,
+    "observed_base": stored_journeys,
     "eligible": eligible_journeys,
     "gap_values": _on_eligible(gap_values),
     "gap_groups": _on_eligible(gap_groups),

