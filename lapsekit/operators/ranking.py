@@ -66,4 +66,5 @@ def top_predictors(importance: DataFrame, k: int = 10) -> DataFrame:
             F.row_number().over(in_order).alias("rank"),
             F.row_number().over(from_least).alias("display_order"),
         )
+        .orderBy("rank")
     )

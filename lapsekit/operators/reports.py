@@ -175,7 +175,8 @@ def gap_stats(journeys: DataFrame, *, label: str = LABEL) -> DataFrame:
         {
             "median_text": F.concat(F.lit("Median max gap: "), whole_days(F.col("median_gap")), F.lit(" days")),
             "rate_text": F.concat(
-                percent_label(F.col(rate)), F.lit(" of observed journeys had at least one gap over 180 days")
+                percent_label(F.col(rate)),
+                F.lit(f" of observed journeys had at least one gap over {label.removeprefix('LongGap')} days"),
             ),
         }
     )

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lapsekit.operators import evaluate, forest, ranking
 from lapsekit.operators.build import build_journeys
-from lapsekit.operators.cohort import charted_gaps, eligible, gap_groups, gap_values, observed
+from lapsekit.operators.cohort import eligible, gap_groups, gap_values, observed
 from lapsekit.operators.frame import complete_rows, model_columns, varying_features
 from lapsekit.operators.histogram import histogram
 from lapsekit.operators.lumping import fit_lumping
@@ -95,7 +95,7 @@ def write_reports(journeys: DataFrame, output: str, settings: JobSettings = JobS
             gap_groups(journeys), "MaxGapDays", GROUPED_HISTOGRAM_BINS, by=["GapGroup"]
         ),
         "chart_gap_stats": gap_stats(journeys, label=label),
-        "chart_gap_stats_capped": gap_stats_capped(charted_gaps(journeys)),
+        "chart_gap_stats_capped": gap_stats_capped(journeys),
         "chart_encounter_types": encounter_type_report(journeys, min_support=support, label=label),
         "chart_portal": portal_report(journeys, PORTAL_GROUPS_LONG, PORTAL_ORDER_LONG, label=label),
         "chart_social_risk": social_risk_report(journeys, SOCIAL_RISK_NAMES_RECORDED, label=label),

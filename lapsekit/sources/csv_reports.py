@@ -1,26 +1,31 @@
-"""Report tables as CSV: header, ``NA`` for missing, numbers without exponents."""
+"""Report tables as CSV: header, ``NA`` for missing, ``TRUE``, numbers without exponents."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DoubleType, StructType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from lapsekit.functions.labels import plain_number
 
 MISSING = "NA"
 
 
+def _as_text(field: StructField) -> Column:
+    value = F.col(field.name)
+    if isinstance(field.dataType, DoubleType):
+        value = plain_number(value)
+    elif isinstance(field.dataType, BooleanType):
+        value = F.upper(value.cast("string"))
+    return value.alias(field.name)
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """Replace the CSV at ``path``. For reports: they are written as one file.
 
     As in other CSV with such a marker, the text ``NA`` reads back as missing.
     """
-    texts = [
-        plain_number(F.col(f.name)).alias(f.name) if isinstance(f.dataType, DoubleType) else F.col(f.name)
-        for f in df.schema.fields
-    ]
     (
-        df.select(*texts)
+        df.select(*map(_as_text, df.schema.fields))
         .coalesce(1)
         .write.mode("overwrite")
         .option("header", True)
