@@ -1,0 +1,87 @@
+import pytest
+from frames import model_rows
+
+from lapsekit.operators import lumping
+from lapsekit.operators.frame import complete_rows, constant_columns, model_frame, varying_features
+from lapsekit.settings import FEATURES
+
+
+def _frame(spark, counts):
+    rows = [(level,) for level, n in counts.items() for _ in range(n)]
+    return spark.createDataFrame(rows, "c string").repartition(3)
+
+
+def _lumped(spark, counts, n, max_literals=lumping.MAX_LITERAL_LEVELS):
+    df = _frame(spark, counts)
+    got = lumping.fit_lumping(df, {"c": n}, max_literals).apply(df).groupBy("c").count().collect()
+    return {r["c"]: r["count"] for r in got}
+
+
+# Literal levels, and levels joined as a table.
+BOTH_WAYS = pytest.mark.parametrize("max_literals", [5_000, 0])
+
+
+@BOTH_WAYS
+def test_levels_tied_at_the_limit_are_all_kept(spark, max_literals):
+    counts = {"a": 5, "b": 3, "c": 3, "d": 2, "e": 1}
+    assert _lumped(spark, counts, 2, max_literals) == {"a": 5, "b": 3, "c": 3, "Other": 3}
+
+
+@BOTH_WAYS
+def test_a_single_level_beyond_the_limit_stays(spark, max_literals):
+    counts = {"a": 5, "b": 3, "c": 1}
+    assert _lumped(spark, counts, 2, max_literals) == counts
+
+
+@BOTH_WAYS
+def test_null_stays_null_and_an_own_other_level_merges(spark, max_literals):
+    counts = {"a": 5, "": 4, "Other": 2, "c": 1, "d": 1, None: 7}
+    assert _lumped(spark, counts, 2, max_literals) == {"a": 5, "": 4, "Other": 4, None: 7}
+
+
+def test_a_level_per_row(spark):
+    df = spark.range(2_000).selectExpr("CAST(id AS STRING) AS c")
+    ranks = lumping.level_ranks(df, {"c": 10})
+    assert ranks.count() == 2_000
+    assert ranks.filter("kept AND level_rank = 1").count() == 2_000
+    lumped = lumping.fit_lumping(df, {"c": 10}, max_literals=100).apply(df)
+    assert lumped.filter("c = 'Other'").count() == 0 and lumped.count() == 2_000
+
+
+def test_a_level_that_holds_most_rows(spark):
+    df = spark.range(9_000).selectExpr("IF(id % 3 > 0, 'hot', CAST(id % 70 AS STRING)) AS c")
+    for max_literals in (5_000, 0):
+        got = lumping.fit_lumping(df, {"c": 1}, max_literals).apply(df).groupBy("c").count().collect()
+        assert {r["c"]: r["count"] for r in got} == {"hot": 6_000, "Other": 3_000}
+
+
+def test_level_counts_include_rows_dropped_later(spark):
+    # Level "b" is frequent only among rows whose status is missing.
+    frame = model_rows(
+        spark, 100, lambda i: i % 2,
+        FirstEncounterType=lambda i: f"rare{i}" if i < 21 else ("b" if i < 60 else "c"),
+        MyChartStatus=lambda i: None if 21 <= i < 59 else "on",
+    )
+    got = model_frame(frame)
+    assert got.count() == 100 - 38
+    types = {r["FirstEncounterType"]: r["count"] for r in got.groupBy("FirstEncounterType").count().collect()}
+    assert types["b"] == 1 and types["c"] == 40
+
+
+def test_incomplete_rows(spark):
+    frame = model_rows(
+        spark, 6, lambda i: [0, 1, 2, None, 1, 0][i],
+        SmokingStatus=lambda i: None if i == 4 else "",
+        FoodRisk=lambda i: None if i == 5 else 1,
+    )
+    kept = sorted(r["JourneyKey"] for r in complete_rows(frame).collect())
+    assert kept == ["j00000", "j00001"]
+
+
+def test_constant_columns(spark):
+    frame = model_rows(spark, 10, lambda i: i % 2, OmbRace=lambda i: "ab"[i % 2], FoodRisk=lambda i: i % 2)
+    varying = {r["variable"] for r in constant_columns(frame).filter("is_constant = 0").collect()}
+    assert varying == {"LongGap180", "OmbRace", "FoodRisk"}
+    assert varying_features(frame) == [name for name in FEATURES if name in varying]
+    with pytest.raises(ValueError):
+        varying_features(model_rows(spark, 4, lambda i: 1))
