@@ -95,8 +95,8 @@ charted AS (SELECT * FROM eligible WHERE MaxGapDays IS NOT NULL AND MaxGapDays B
 
 
 def _percent(rate: str) -> str:
-    """Rate as text, rounded half to even at one digit."""
-    number = f"CAST(round_even(({rate}) * 100, 1) AS VARCHAR)"
+    """Rate as text, rounded half to even at one digit; adding zero makes -0 read 0."""
+    number = f"CAST(round_even(({rate}) * 100, 1) + 0.0::DOUBLE AS VARCHAR)"
     return f"regexp_replace({number}, '[.]0$', '') || '%'"
 
 

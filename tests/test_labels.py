@@ -35,7 +35,7 @@ def test_percent_rounds_half_to_even_and_drops_zero(spark, rate, expected):
     assert _one(spark, labels.percent_label, rate, "double") == expected
 
 
-@pytest.mark.parametrize("change, expected", [(0.0213, "+2.1%"), (-0.0213, "-2.1%"), (0.0, "+0%")])
+@pytest.mark.parametrize("change, expected", [(0.0213, "+2.1%"), (-0.0213, "-2.1%"), (0.0, "+0%"), (-0.0003, "0%")])
 def test_change_carries_its_own_sign(spark, change, expected):
     assert _one(spark, labels.change_label, change, "double") == expected
 
