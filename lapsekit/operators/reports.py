@@ -18,6 +18,7 @@ from lapsekit.functions.labels import (
 )
 from lapsekit.operators.cohort import charted_gaps
 from lapsekit.settings import (
+    GAP_THRESHOLDS,
     LABEL,
     MIN_SUPPORT,
     PATIENT,
@@ -28,27 +29,42 @@ from lapsekit.settings import (
 )
 
 
-def cohort_summary(journeys: DataFrame) -> DataFrame:
+def _median(name: str, approximate: bool) -> Column:
+    if approximate:
+        return F.percentile_approx(name, 0.5, 10_000).cast("double")
+    return F.median(name)
+
+
+def cohort_summary(journeys: DataFrame, *, approximate: bool = False) -> DataFrame:
     """One row of whole-cohort measures.
 
     The exact patient count is its own aggregate: put in one with the medians,
     Spark would carry a median buffer per patient through the shuffle. The
-    buffers here hold one entry per distinct day count or visit count.
+    buffers here hold one entry per distinct day count or visit count. Both
+    parts scan ``journeys``, so give it a stored table.
+
+    ``approximate`` takes sketches in place of the exact patient count and
+    medians: one scan, and no shuffle but of one row per task.
     """
-    measures = journeys.agg(
+    measures = [
         F.count("*").alias("diabetes_journeys_observed365"),
-        *(F.avg(f"LongGap{days}").alias(f"long_gap_{days}_rate") for days in (90, 180, 365)),
-        F.median("MaxGapDays").alias("median_max_gap_days"),
+        *(F.avg(f"LongGap{days}").alias(f"long_gap_{days}_rate") for days in GAP_THRESHOLDS),
+        _median("MaxGapDays", approximate).alias("median_max_gap_days"),
         F.avg("MaxGapDays").alias("mean_max_gap_days"),
-        F.median("NumEncounters").alias("median_encounters"),
-        F.median("NumVisitDays").alias("median_visit_days"),
+        _median("NumEncounters", approximate).alias("median_encounters"),
+        _median("NumVisitDays", approximate).alias("median_visit_days"),
         F.avg("HasSdohScreening").alias("sdoh_screened_rate"),
         F.avg("AnySocialRisk").alias("any_social_risk_rate"),
         F.avg("SocialRiskCount").alias("mean_social_risk_count"),
-    )
-    patients = journeys.agg(F.count_distinct(PATIENT).alias("diabetes_patients_observed365"))
-    first, *rest = measures.columns
-    return measures.crossJoin(patients).select(first, *patients.columns, *rest)
+    ]
+    patients = "diabetes_patients_observed365"
+    if approximate:
+        summary = journeys.agg(*measures, F.approx_count_distinct(PATIENT).alias(patients))
+    else:
+        exact = journeys.agg(F.count_distinct(PATIENT).alias(patients))
+        summary = journeys.agg(*measures).crossJoin(exact)
+    first, *rest = (name for name in summary.columns if name != patients)
+    return summary.select(first, patients, *rest)
 
 
 def gap_report(
@@ -57,6 +73,7 @@ def gap_report(
     *,
     min_support: int = MIN_SUPPORT,
     label: str = LABEL,
+    approximate: bool = False,
 ) -> DataFrame:
     """Journeys, patients, gap rate and median gap per value of ``key``.
 
@@ -64,22 +81,25 @@ def gap_report(
     measures. That count shuffles (key, patient) pairs, so a value of ``key``
     that holds most journeys is spread over its patients; the measures send one
     row per value and task. What is joined is the size of the report.
+    ``approximate`` works as it does there.
     """
     rate = rate_name(label)
-    measures = (
-        journeys.groupBy(key)
-        .agg(
-            F.count("*").alias("journeys"),
-            F.avg(label).alias(rate),
-            F.median("MaxGapDays").alias("median_max_gap_days"),
-        )
-        .filter(F.col("journeys") >= min_support)
-    )
-    patients = journeys.groupBy(F.col(key).alias("_key")).agg(F.count_distinct(PATIENT).alias("patients"))
-    return (
-        measures.join(patients, F.col(key).eqNullSafe(F.col("_key")))
-        .select(key, "journeys", "patients", rate, "median_max_gap_days")
-        .orderBy(F.desc_nulls_last(rate), F.asc_nulls_last(key))
+    measures = [
+        F.count("*").alias("journeys"),
+        F.avg(label).alias(rate),
+        _median("MaxGapDays", approximate).alias("median_max_gap_days"),
+    ]
+    supported = F.col("journeys") >= min_support
+    if approximate:
+        patients = F.approx_count_distinct(PATIENT).alias("patients")
+        report = journeys.groupBy(key).agg(*measures, patients).filter(supported)
+    else:
+        pairs = journeys.groupBy(F.col(key).alias("_key"))
+        patients = pairs.agg(F.count_distinct(PATIENT).alias("patients"))
+        report = journeys.groupBy(key).agg(*measures).filter(supported)
+        report = report.join(patients, F.col(key).eqNullSafe(F.col("_key")))
+    return report.select(key, "journeys", "patients", rate, "median_max_gap_days").orderBy(
+        F.desc_nulls_last(rate), F.asc_nulls_last(key)
     )
 
 

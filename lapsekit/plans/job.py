@@ -31,7 +31,7 @@ from lapsekit.operators.reports import (
     social_risk_report,
 )
 from lapsekit.operators.sampling import sample_cap, with_split
-from lapsekit.session import stage
+from lapsekit.session import discard_staged, stage
 from lapsekit.settings import (
     GROUPED_HISTOGRAM_BINS,
     HISTOGRAM_BINS,
@@ -205,6 +205,7 @@ def main() -> None:
         (run_on_journeys, OBSERVATION_END) if args.journeys else (run_on_star_schema, STAR_OBSERVATION_END)
     )
     start(spark, args.input, args.output, settings, args.observation_end or end)
+    discard_staged(spark)
     spark.stop()
 
 

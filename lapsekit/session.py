@@ -45,9 +45,19 @@ def shared_folder(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
 
 
+def _session_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/lapsekit-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path for one intermediate table that no other table uses."""
-    return f"{shared_folder(spark)}/lapsekit-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard_staged(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this session, when nothing reads them any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

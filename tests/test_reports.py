@@ -72,3 +72,20 @@ def test_sql_text_over_the_table(spark):
         "SELECT MyChartStatus AS s, COUNT(*) AS n FROM {journeys} GROUP BY s HAVING s IS NOT NULL ORDER BY n DESC LIMIT 1",
     ).first()
     assert (got["s"], got["n"]) == ("Activated", 2)
+
+
+def test_sketches_come_near_the_exact_reports(spark):
+    rows = [(i // 2, "ab"[i % 2], "Activated", i % 2, i % 500) for i in range(4_000)]
+    df = journeys(spark, rows)
+    exact, near = (reports.cohort_summary(df, approximate=a).first() for a in (False, True))
+    assert near.asDict().keys() == exact.asDict().keys()
+    for name, value in exact.asDict().items():
+        assert near[name] == pytest.approx(value, rel=0.1)
+    exact, near = (
+        {r["FirstEncounterType"]: r for r in reports.gap_report(df, "FirstEncounterType", approximate=a).collect()}
+        for a in (False, True)
+    )
+    for key, row in exact.items():
+        assert near[key]["journeys"] == row["journeys"] == 2_000
+        assert near[key]["patients"] == pytest.approx(row["patients"], rel=0.1)
+        assert near[key]["median_max_gap_days"] == pytest.approx(row["median_max_gap_days"], rel=0.02)

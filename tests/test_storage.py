@@ -46,6 +46,8 @@ def test_staged_frame_is_read_back_from_the_shared_folder(spark, monkeypatch, tm
     staged = session.stage(spark.range(10).toDF("x"), "numbers")
     assert staged.count() == 10
     assert all(f.startswith(f"file://{tmp_path}") for f in staged.inputFiles())
+    session.discard_staged(spark)
+    assert list(tmp_path.iterdir()) == []
 
 
 def test_the_session_names_the_shared_folder(spark):
