@@ -73,6 +73,27 @@ def digest_cutoff(df: DataFrame, order: Column, target: Callable[[int], int]) ->
                 return best, before, total
 
 
+def split_cutoff(
+    df: DataFrame,
+    *,
+    key: str = JOURNEY,
+    fraction: float = TRAIN_FRACTION,
+    seed: int = SEED,
+    group_col: str | None = None,
+) -> str:
+    """The digest up to which rows are ``train``; see :func:`with_split`."""
+    order = digest(group_col or key, seed)
+    return digest_cutoff(df, order, lambda n: math.floor(fraction * n))[0]
+
+
+def mark_split(
+    df: DataFrame, cutoff: str, *, key: str = JOURNEY, seed: int = SEED, group_col: str | None = None
+) -> DataFrame:
+    """Add ``split`` for a known cutoff: each row tells its side by itself."""
+    order = digest(group_col or key, seed)
+    return df.withColumn("split", F.when(order <= cutoff, "train").otherwise("test"))
+
+
 def with_split(
     df: DataFrame,
     *,
@@ -87,9 +108,8 @@ def with_split(
     journeys of a patient) stay on one side, and train is as near to the size
     as whole groups in digest order allow without exceeding it.
     """
-    order = digest(group_col or key, seed)
-    cutoff, _, _ = digest_cutoff(df, order, lambda n: math.floor(fraction * n))
-    return df.withColumn("split", F.when(order <= cutoff, "train").otherwise("test"))
+    cutoff = split_cutoff(df, key=key, fraction=fraction, seed=seed, group_col=group_col)
+    return mark_split(df, cutoff, key=key, seed=seed, group_col=group_col)
 
 
 def sample_cap(

@@ -106,18 +106,16 @@ def write_reports(journeys: DataFrame, output: str, settings: JobSettings = JobS
 
 
 def prepare_rows(journeys: DataFrame, settings: JobSettings = JobSettings()) -> DataFrame:
-    """Model rows with their split, written once for the many passes of training."""
+    """Model rows with their split; lumped once for the many passes of training."""
     label = settings.label
-    columns = stage(model_columns(journeys, label), "model-columns")
+    columns = model_columns(journeys, label)
     split = {"fraction": settings.train_fraction, "seed": settings.seed, "group_col": settings.split_by}
     if settings.lump_on_train_only:
         rows = sample_cap(complete_rows(columns, label), settings.sample_rows, seed=settings.seed)
-        rows = stage(with_split(rows, **split), "model-split")
-        lumping = fit_lumping(rows.filter("split = 'train'"))
-        return stage(lumping.apply(rows), "model-rows")
+        rows = with_split(rows, **split)
+        return stage(fit_lumping(rows.filter("split = 'train'")).apply(rows), "model-rows")
     frame = stage(complete_rows(fit_lumping(columns).apply(columns), label), "model-frame")
-    rows = sample_cap(frame, settings.sample_rows, seed=settings.seed)
-    return stage(with_split(rows, **split), "model-rows")
+    return with_split(sample_cap(frame, settings.sample_rows, seed=settings.seed), **split)
 
 
 def write_model(journeys: DataFrame, output: str, settings: JobSettings = JobSettings()) -> None:

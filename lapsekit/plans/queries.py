@@ -25,7 +25,7 @@ from lapsekit.operators.reports import (
     social_risk_difference,
     social_risk_report,
 )
-from lapsekit.operators.sampling import sample_cap, with_split
+from lapsekit.operators.sampling import mark_split, sample_cap, split_cutoff
 from lapsekit.operators.scoring import rate_scores
 from lapsekit.plans.store import input_state, stored, stored_journeys
 from lapsekit.session import new_path
@@ -70,12 +70,18 @@ def eligible_journeys(spark: SparkSession, folder: str) -> DataFrame:
     return eligible(stored_journeys(spark, folder))
 
 
+_cutoffs: dict[tuple, str] = {}
+
+
 def model_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The model frame with its split."""
     frame = stored(
         spark, folder, "model_frame", lambda: model_frame(eligible_journeys(spark, folder), MODEL_LABEL)
     )
-    return stored(spark, folder, "model_rows", lambda: with_split(frame))
+    key = input_state(spark, folder)
+    if key not in _cutoffs:
+        _cutoffs[key] = split_cutoff(frame)
+    return mark_split(frame, _cutoffs[key])
 
 
 def rate_scored_test(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,8 +105,9 @@ _forests: dict[tuple, forest.Forest] = {}
 def fitted_forest(spark: SparkSession, folder: str) -> forest.Forest:
     key = input_state(spark, folder)
     if key not in _forests:
-        train = model_rows(spark, folder).filter("split = 'train'")
-        features = varying_features(train, MODEL_LABEL)
+        rows = model_rows(spark, folder)
+        train = rows.filter("split = 'train'")
+        features = varying_features(rows, MODEL_LABEL)
         _forests[key] = forest.train_forest(train, features, label=MODEL_LABEL, settings=FOREST)
     return _forests[key]
 

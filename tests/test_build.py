@@ -1,9 +1,14 @@
-from datetime import date
+import os
+import random
+from datetime import date, timedelta
 
+import pytest
 from frames import encounters
+from pyspark.sql import functions as F
 
 from lapsekit.operators.build import screening_profile, visit_gaps, with_screening
 from lapsekit.operators.cohort import charted_gaps, eligible, gap_groups, observed
+from lapsekit.plans.store import stored_journeys
 
 
 def _by_key(df):
@@ -89,3 +94,47 @@ def test_charted_gaps_are_bounded_on_both_sides(spark):
         (0, "Gap 180 days or less"), (180, "Gap 180 days or less"),
         (181, "Gap over 180 days"), (1460, "Gap over 180 days"),
     ]
+
+
+def test_random_visits_against_brute_force(spark):
+    rng = random.Random(11)
+    # Journey 1-F holds a third of all visits.
+    visits = []
+    for i in range(600):
+        patient, part = (1, "F") if i % 3 == 0 else (rng.randrange(1, 30), rng.choice("FO"))
+        day = date(2019, 1, 1) + timedelta(days=rng.randrange(2_000))
+        visits.append((patient, part, day.isoformat(), rng.randrange(50), i))
+    expected = {}
+    for patient, part, day, key, line in visits:
+        expected.setdefault(f"{patient}-{part}", []).append((date.fromisoformat(day), key, line))
+    for partitions in (1, 5):
+        got = _by_key(visit_gaps(encounters(spark, visits).repartition(partitions)))
+        assert got.keys() == expected.keys()
+        for name, rows in expected.items():
+            days = sorted({d for d, *_ in rows})
+            gaps = [(b - a).days for a, b in zip(days, days[1:])]
+            first = min(rows)
+            r = got[name]
+            assert (r["NumEncounters"], r["NumVisitDays"], r["FirstDate"]) == (len(rows), len(days), days[0])
+            assert r["MaxGapDays"] == max(gaps, default=None)
+            assert r["FirstEncounterType"] == f"type-{first[1]}-{first[2]}"
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata"), reason="no test tables")
+@pytest.mark.parametrize(
+    "scale, journeys, patients, without_gap, kept, kept_patients, complete",
+    [
+        ("sf0.001", 300, 150, 0, 216, 141, 174),
+        ("sf0.01", 2_998, 1_500, 3, 2_220, 1_373, 1_772),
+        ("sf0.1", 29_992, 14_999, 10, 22_286, 13_832, 17_781),
+    ],
+)
+def test_known_counts(spark, scale, journeys, patients, without_gap, kept, kept_patients, complete):
+    table = stored_journeys(spark, f"/root/testdata/{scale}")
+    counts = (
+        F.count("*"), F.count_distinct("PatientDurableKey"), F.count(F.when(F.col("MaxGapDays").isNull(), 1)),
+    )
+    assert tuple(table.agg(*counts).first()) == (journeys, patients, without_gap)
+    rows = eligible(table)
+    assert tuple(rows.agg(*counts[:2]).first()) == (kept, kept_patients)
+    assert rows.na.drop("any", subset=["LongGap365", "MyChartStatus"]).count() == complete
