@@ -8,7 +8,8 @@ from lapsekit.operators import sampling
 
 
 def _keys(spark, n):
-    return spark.range(n).selectExpr("CONCAT('k', id) AS JourneyKey", "id % 7 AS g", "IF(id % 3 = 0, 'hot', CONCAT('p', id)) AS p")
+    """Keys, and a group column of which one value holds a third of the rows."""
+    return spark.range(n).selectExpr("CONCAT('k', id) AS JourneyKey", "IF(id % 3 = 0, 'hot', CONCAT('p', id)) AS p")
 
 
 def _digest(seed, key):

@@ -1,7 +1,5 @@
 import glob
 
-import pytest
-
 from lapsekit import session
 from lapsekit.plans import store
 from lapsekit.sources.csv_reports import read_report, write_report, write_rows
