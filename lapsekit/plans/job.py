@@ -202,9 +202,11 @@ def main() -> None:
     start, end = (
         (run_on_journeys, OBSERVATION_END) if args.journeys else (run_on_star_schema, STAR_OBSERVATION_END)
     )
-    start(spark, args.input, args.output, settings, args.observation_end or end)
-    discard_staged(spark)
-    spark.stop()
+    try:
+        start(spark, args.input, args.output, settings, args.observation_end or end)
+    finally:
+        discard_staged(spark)
+        spark.stop()
 
 
 if __name__ == "__main__":
