@@ -95,7 +95,7 @@ WITH {_URLS}, records AS (
   SELECT *, CASE WHEN rid IS NULL THEN 'no_response' WHEN same THEN 'resolved' WHEN NOT same THEN 'changed' ELSE 'unverified' END AS outcome
   FROM judged
 )
-SELECT record_id, canon AS canonical_url, "at", outcome, rid AS response_id, rat AS response_at,
+SELECT record_id, canon AS canonical_url, "at" AS revisit_at, outcome, rid AS response_id, rat AS response_at,
   CASE WHEN outcome = 'resolved' THEN concat_ws(chr(10), 'cache-control: ' || coalesce(cache, rcache), 'content-type: ' || rtype,
     'date: ' || coalesce(date, rdate), 'etag: ' || coalesce(tag, rtag), 'expires: ' || coalesce(expires, rexpires)) END AS headers,
   CASE WHEN outcome = 'resolved' THEN rdigest END AS payload_digest
@@ -130,7 +130,7 @@ WITH {_URLS}, edits AS (
   SELECT * FROM found WHERE (until IS NULL OR "at" < until) AND action <> 'remove'
   QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY list_position(['domain', 'prefix', 'url'], level) DESC, length(key) DESC, key DESC) = 1
 )
-SELECT page.page_id, page.url, page."at", coalesce(action, 'none') AS verdict, level, key, since, until
+SELECT page.page_id, page.url, page."at" AS fetched_at, coalesce(action, 'none') AS verdict, level, key, since, until
 FROM page LEFT JOIN best ON page.page_id = best.page_id
 """
 

@@ -21,11 +21,12 @@ def _on_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 def warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
     resolved = warc.resolve_revisits(warc.records_of_pages(spark, folder))
-    return resolved.withColumn("headers", warc.headers_text(F.col("headers")))
+    return resolved.withColumn("headers", warc.headers_text(F.col("headers"))).withColumnRenamed("at", "revisit_at")
 
 
 def url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
-    return url_filter.url_verdicts(url_filter.captures_of_pages(spark, folder), url_filter.entries_of_events(spark, folder))
+    verdicts = url_filter.url_verdicts(url_filter.captures_of_pages(spark, folder), url_filter.entries_of_events(spark, folder))
+    return verdicts.withColumnRenamed("at", "fetched_at")
 
 
 REGISTRY: dict[str, Query] = {
