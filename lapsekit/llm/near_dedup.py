@@ -10,8 +10,8 @@ component, and a point beyond the weight is left out.
 
 Signatures are cut into bands; texts that share a band's values are compared
 by their multisets. No bucket is expanded into pairs: its members are compared
-with one of them, then with others until each is linked to the rest of the
-bucket, and only members still apart are compared with each other.
+with the one that meets most texts in all its buckets. Members still apart then
+meet in blocks of bounded size, inside a task, which hands on similar pairs only.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ COMPONENTS = BANDS * ROWS
 LEAST_AGREEMENT = 0.62
 #: Windows that are drawn for at once.
 CHUNK = 200_000
-#: Rounds in which the members of a bucket are compared with one of them.
-ROUNDS = 3
+#: Members of a bucket that meet as many others in one task.
+BLOCK = 256
 #: Keys up to this number are sent to all executors to find their texts; more are joined.
 BROADCAST_KEYS = 500_000
 _ONE = np.uint64(1)
@@ -62,7 +62,7 @@ def signatures(items: list[tuple[np.ndarray, np.ndarray]], m: int = COMPONENTS)
         shell = 0
         while len(d):
             low, high = (1 << shell) >> 1, 1 << shell
-            _draw(flat, times, d, mixed(h + np.uint64(shell) * np.uint64(0xD1342543DE82EF95)), w, low, high - low, m)
+            _draw(flat, times, d, mixed(h + np.uint64(shell * 0xD1342543DE82EF95 % (1 << 64))), w, low, high - low, m)
             more = w > high
             d, h, w, shell = d[more], h[more], w[more], shell + 1
     return times
@@ -115,6 +115,18 @@ def multiset(words: list[str], hashes: WordHashes) -> np.ndarray:
 _SKETCH = "key {0}, h1 bigint, h2 bigint, bands array<bigint>, sketch binary"
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Number of common elements of two ascending arrays without repeats."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    return int((b[np.minimum(at, len(b) - 1)] == a).sum())
+
+
+def _unsigned(windows_list: pa.ListScalar) -> np.ndarray:
+    return windows_list.values.to_numpy(zero_copy_only=False).view(np.uint64)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
 
@@ -170,46 +182,99 @@ def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         similar = []
         for x, y in zip(batch.column(2), batch.column(3)):
-            a, b = (s.values.to_numpy(zero_copy_only=False) for s in (x, y))
-            common = len(np.intersect1d(a, b, assume_unique=True))
+            a, b = _unsigned(x), _unsigned(y)
+            common = _common(a, b)
             similar.append(common / (len(a) + len(b) - common))
         out = batch.select([0, 1]).append_column("similarity", pa.array(similar, pa.float64()))
         yield out.filter(pa.array(np.array(similar) >= SIMILAR, pa.bool_()))
 
 
 class _Comparison:
-    """Compares pairs of texts exactly, each pair once."""
+    """Compares pairs of texts exactly."""
 
     def __init__(self, texts: DataFrame, sketches: DataFrame) -> None:
         self.texts, self.sketches = texts, sketches
         self.key_type = texts.schema["key"].dataType.simpleString()
-        self.tested: DataFrame | None = None
-        self.links: DataFrame | None = None
-
-    def __call__(self, pairs: DataFrame) -> None:
-        """``pairs``: (a, b), a < b. Adds to ``tested`` and ``links``."""
-        pairs = pairs.distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, similarity) of the similar ones of ``pairs`` (a, b), a < b."""
+        pairs = stage(pairs.distinct(), "pairs")
         named = f"a {self.key_type}, b {self.key_type}"
         of = lambda table, column, v, name: table.select(F.col("v").alias(v), F.col(column).alias(name))
         both = pairs.join(of(self.sketches, "sketch", "a", "sa"), "a").join(of(self.sketches, "sketch", "b", "sb"), "b")
         likely = stage(both.select("a", "b", "sa", "sb").mapInArrow(_agreement, named), "likely-pairs")
-        keys = stage(likely.select(F.col("a").alias("key")).unionByName(likely.select(F.col("b").alias("key"))).distinct(), "compared")
+        sets = self.multisets(likely.select(F.col("a").alias("key")).unionByName(likely.select(F.col("b").alias("key"))).distinct())
+        both = likely.join(of(sets, "windows", "b", "wb"), "b").join(of(sets, "windows", "a", "wa"), "a")
+        return stage(both.select("a", "b", "wa", "wb").mapInArrow(_similarity, f"{named}, similarity double"), "links")
+
+    def multisets(self, keys: DataFrame) -> DataFrame:
+        """(v, windows) of the texts of these keys."""
+        keys = stage(keys, "compared")
         wanted = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
         rows = self.texts.join(wanted, "key", "left_semi").select("key", "text")
-        sets = stage(rows.mapInArrow(_multisets, f"v {self.key_type}, windows array<bigint>"), "multisets").dropDuplicates(["v"])
-        both = likely.join(of(sets, "windows", "b", "wb"), "b").join(of(sets, "windows", "a", "wa"), "a")
-        links = stage(both.select("a", "b", "wa", "wb").mapInArrow(_similarity, f"{named}, similarity double"), "links")
-        self.links = links if self.links is None else self.links.unionByName(links)
+        return stage(rows.mapInArrow(_multisets, f"v {self.key_type}, windows array<bigint>"), "multisets").dropDuplicates(["v"])
 
 
 def _ordered(left: str, right: str) -> list:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
 
+def _meet(key: tuple, rows: pa.Table) -> pa.Table:
+    """Similar pairs of different labels between two blocks of a bucket, or within one.
+
+    A pair is looked at in its first common band only. Windows that no other
+    text apart has can't be common, which bounds the similarity; then the
+    sketches are compared, then the multisets.
+    """
+    band, first, second = (k.as_py() for k in key)
+    blocks = rows["block"].to_numpy()
+    v, labels = rows["v"].to_pylist(), np.unique(np.array(rows["label"].to_pylist()), return_inverse=True)[1]
+    n, shared = rows["n"].to_numpy(), rows["shared"].to_numpy()
+    bands = np.stack(rows["bands"].to_pylist())
+    sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, COMPONENTS)
+    sets = [_unsigned(w) for w in rows["windows"]]
+    at = int(np.flatnonzero(bands[0] == band)[0])
+    found = []
+    others = np.flatnonzero(blocks == second)
+    for i in np.flatnonzero(blocks == first):
+        j = others[others > i] if first == second else others
+        most = np.minimum(shared[i], shared[j])
+        j = j[(labels[j] != labels[i]) & (most >= SIMILAR * (n[i] + n[j] - most))]
+        j = j[~(bands[j, :at] == bands[i, :at]).any(axis=1)]
+        for k in j[(sketch[j] == sketch[i]).mean(axis=1) >= LEAST_AGREEMENT]:
+            common = _common(sets[i], sets[k])
+            similarity = common / (n[i] + n[k] - common)
+            if similarity >= SIMILAR:
+                found.append((min(v[i], v[k]), max(v[i], v[k]), similarity))
+    a, b, similar = zip(*found) if found else ((), (), ())
+    kind = rows.schema.field("v").type
+    return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind), "similarity": pa.array(similar, pa.float64())})
+
+
+def _links_apart(apart: DataFrame, signed: DataFrame, compare: _Comparison) -> DataFrame:
+    """Links (a, b, similarity) between members (band, v, label) of a bucket with different labels."""
+    sets = compare.multisets(apart.select(F.col("v").alias("key")).distinct())
+    alone = (
+        sets.select("v", F.explode("windows").alias("window")).groupBy("window")
+        .agg(F.min("v").alias("v"), F.max("v").alias("other")).filter("v = other")
+        .groupBy("v").agg(F.count(F.lit(1)).alias("alone"))
+    )
+    n = F.size("windows").cast("bigint")
+    members = sets.join(alone, "v", "left").withColumn("n", n).withColumn("shared", n - F.coalesce("alone", F.lit(0)))
+    members = members.filter(F.col("shared") >= SIMILAR * F.col("n")).join(signed, "v")
+    members = stage(members.select("v", "n", "shared", "windows", "bands", "sketch"), "members")
+    here = stage(apart.join(members.select("v"), "v"), "still-apart")
+    several = here.groupBy("band").agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("label").alias("lo"), F.max("label").alias("hi")
+    ).filter("lo <> hi")
+    placed = here.join(several.select("band", "blocks"), "band").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meeting = other.select(
+        "band", "v", "label", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second")
+    ).join(members, "v")
+    return meeting.groupBy("band", "first", "second").applyInArrow(_meet, f"a {compare.key_type}, b {compare.key_type}, similarity double")
+
+
 def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``df``: key, class_id (the least key of its class), class_size, kept.
 
@@ -227,26 +292,21 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
     rows = stage(sketched.join(first, ["h1", "h2"]).select("key", "v", "bands", "sketch"), "sketched-rows")
     own = rows.filter("key = v")
     banded = own.select("v", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("v").alias("least"), F.max("v").alias("most")).filter("least <> most")
-    buckets = stage(banded.join(shared, "band").select("band", "v", "least"), "buckets")
-
-    compare = _Comparison(slim, own.select("v", "sketch").dropDuplicates(["v"]))
-    compare(buckets.filter("v <> least").select(*_ordered("v", "least")))
-    labels = components(compare.links)
-    for i in range(1, ROUNDS + 1):
-        labelled = buckets.select("band", "v").join(labels, "v", "left").select("band", "v", F.coalesce("label", "v").alias("label"))
-        split = labelled.groupBy("band").agg(
-            F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("v", "label"), F.xxhash64("v", F.lit(i))).alias("centre")
-        ).filter("lo <> hi")
-        apart = stage(labelled.join(split.select("band", "centre"), "band"), "apart")
-        if apart.isEmpty():
-            break
-        if i < ROUNDS:
-            compare(apart.filter("label <> centre.label").select(*_ordered("v", "centre.v")))
-        else:
-            left, right = (apart.select("band", F.col("v").alias(s), F.col("label").alias(f"of_{s}")) for s in "lr")
-            compare(left.join(right, "band").filter("l < r AND of_l <> of_r").select(F.col("l").alias("a"), F.col("r").alias("b")))
-        labels = components(compare.links)
+    shared = banded.groupBy("band").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("met"))
+    buckets = stage(banded.join(shared.filter("lo <> hi").select("band", "met"), "band"), "buckets")
+    met = buckets.groupBy("v").agg(F.sum("met").alias("met"))
+    buckets = stage(buckets.select("band", "v").join(met, "v").select("band", "v", "met"), "met-buckets")
+
+    signed = own.select("v", "bands", "sketch").dropDuplicates(["v"])
+    compare = _Comparison(slim, signed)
+    centres = buckets.groupBy("band").agg(F.max(F.struct("met", "v"))["v"].alias("centre"))
+    links = compare.links(buckets.join(centres, "band").filter("v <> centre").select(*_ordered("v", "centre")))
+    labels = components(links)
+    labelled = buckets.select("band", "v").join(labels, "v", "left").select("band", "v", F.coalesce("label", "v").alias("label"))
+    split = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    apart = stage(labelled.join(split.select("band"), "band"), "apart")
+    more = stage(_links_apart(apart, signed, compare), "more-links")
+    labels = components(links.unionByName(more))
     classed = rows.select("key", "v").join(labels, "v", "left").select("key", F.coalesce("label", "v").alias("class_id"))
     sizes = classed.groupBy("class_id").count().withColumnRenamed("count", "class_size")
     return classed.join(sizes, "class_id", "left").select(
