@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Code points before and after a span in which context words count.
+#: Code points before a span, and after it as far as the next match of its kind, in which context words count.
 CONTEXT = 40
 #: Score from which a span of a kind without a base rule is reported.
 THRESHOLD = 0.6
@@ -104,15 +104,14 @@ def _spans(text: Column, kind: Kind) -> Column:
     """The confirmed and scored spans of one kind, by start."""
     pieces = F.split(text, kind.pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).alias("i"), F.array().cast(f"array<{_SPAN}>").alias("found"))
+    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).alias("i"), F.array().cast(f"array<{_SPAN}>").alias("found"), F.lit("").alias("tail"))
 
     def step(state: Column, pair: Column) -> Column:
         piece, match = pair["pieces"], pair["matches"]
         start = state["at"] + F.length(piece)
         end = start + F.coalesce(F.length(match), F.lit(0))
-        near = F.concat_ws(
-            " ", F.right(piece, F.lit(CONTEXT)), F.left(F.coalesce(pair["after"], F.lit("")), F.lit(CONTEXT))
-        )
+        before = F.right(F.concat(state["tail"], F.right(piece, F.lit(CONTEXT))), F.lit(CONTEXT))
+        near = F.concat_ws(" ", before, F.left(F.coalesce(pair["after"], F.lit("")), F.lit(CONTEXT)))
         score = F.lit(kind.prior) + F.when(near.rlike("(?i)" + kind.words), CONTEXT_GAIN).otherwise(0.0)
         score = F.round(F.least(score, F.lit(1.0)), 2)
         reported = match.isNotNull() & kind.valid(match) & (F.lit(kind.base) | (score >= THRESHOLD))
@@ -122,6 +121,7 @@ def _spans(text: Column, kind: Kind) -> Column:
         return F.struct(
             end.alias("at"), (state["i"] + 1).alias("i"),
             F.when(reported, F.concat(state["found"], F.array(span).cast(f"array<{_SPAN}>"))).otherwise(state["found"]).alias("found"),
+            F.right(F.concat(before, F.coalesce(F.right(match, F.lit(CONTEXT)), F.lit(""))), F.lit(CONTEXT)).alias("tail"),
         )
 
     after = F.slice(pieces, F.lit(2), F.size(pieces))

@@ -75,7 +75,7 @@ def _measured(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def features(text: Column) -> Column:
     """Struct of the measures of a text."""
     # Called non-deterministic so that a filter on it doesn't make Spark measure each text twice.
-    return F.pandas_udf(_measured, FEATURES, functionType=F.PandasUDFType.SCALAR_ITER).asNondeterministic()(text)
+    return F.pandas_udf(_measured, FEATURES).asNondeterministic()(text)
 
 
 def _measures(prefix: str) -> dict[str, Column]:
@@ -87,22 +87,28 @@ def base_failed(m: dict[str, Column]) -> Column:
 
 
 def rule_votes(m: dict[str, Column]) -> dict[str, Column]:
-    """Each rule: bad beyond one limit, good within another, else no vote. Ratios are to the words of the text."""
-
-    def rule(value: Column, good: float, bad: float) -> Column:
-        return F.when(value >= bad, BAD).when(value <= good, GOOD).otherwise(ABSTAIN)
+    """Each rule's vote. Ratios are to the words of the text.
 
+    A rule that knows one fault votes bad or not at all: that its fault is
+    missing says nothing of others. Only the rules on how a text looks as a
+    whole vote good.
+    """
     words = F.greatest(m["n_words"], F.lit(1))
     length = m["word_chars"] / words
+
+    def fault(value: Column, limit: float) -> Column:
+        return F.when(value / words >= limit, BAD).otherwise(ABSTAIN)
+
+    plain = (m["n_symbols"] <= 0.02 * words) & (m["n_marks"] <= 0.1 * words) & (m["n_upper"] <= 0.1 * words)
     return {
-        "symbols": rule(m["n_symbols"] / words, 0.05, 0.25),
+        "symbols": fault(m["n_symbols"], 0.25),
+        "marks": fault(m["n_marks"], 0.4),
+        "capitals": fault(m["n_upper"], 0.4),
+        "commonest": fault(m["n_top"], 0.35),
+        "lines": fault(m["n_dup_lines"] * 50, 1.5),
+        "repeats": fault(m["n_repeat_words"], 0.35),
         "word_length": F.when((length < 2.5) | (length > 9), BAD).when(length.between(3.5, 7), GOOD).otherwise(ABSTAIN),
-        "lines": rule(m["n_dup_lines"] * 50 / words, 0.25, 1.5),
-        "repeats": rule(m["n_repeat_words"] / words, 0.1, 0.35),
-        "marks": rule(m["n_marks"] / words, 0.1, 0.4),
-        "capitals": rule(m["n_upper"] / words, 0.1, 0.4),
-        "commonest": rule(m["n_top"] / words, 0.12, 0.35),
-        "words": rule(-m["n_words"], -MIN_WORDS, -20),
+        "plain": F.when(plain, GOOD).otherwise(ABSTAIN),
     }
 
 
