@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lapsekit.functions.labels import level_position, percent_label
 from lapsekit.operators.quantiles import exact_quantiles
+from lapsekit.session import stage
 from lapsekit.settings import CLASS_CUTOFF, JOURNEY, LABEL, LABEL_NAMES, RISK_TIERS, rate_name
 
 SCORE = "predicted_probability"
@@ -20,8 +21,14 @@ SCORE = "predicted_probability"
 SCORE_RANGES = 512
 
 
+def has_score(score: str = SCORE) -> Column:
+    """Neither null nor NaN."""
+    return F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
+
+
 def predicted_class(score: str = SCORE, cutoff: float = CLASS_CUTOFF) -> Column:
-    return F.when(F.col(score) >= cutoff, LABEL_NAMES[1]).otherwise(LABEL_NAMES[0])
+    """Class name of the score; null without a score."""
+    return F.when(has_score(score), F.when(F.col(score) >= cutoff, LABEL_NAMES[1]).otherwise(LABEL_NAMES[0]))
 
 
 def roc_auc(scored: DataFrame, label: str = LABEL, score: str = SCORE) -> DataFrame:
@@ -31,17 +38,20 @@ def roc_auc(scored: DataFrame, label: str = LABEL, score: str = SCORE) -> DataFr
     higher score, from running counts over the distinct scores. No window runs
     over all of them: they are cut into ranges of about equal size, each range
     counts on its own, and the totals of the ranges before are added. The cuts
-    may be approximate, the result does not depend on them. Null when one of
-    the classes is missing.
+    may be approximate, the result does not depend on them. Rows without a
+    score (null or NaN) or without a 0/1 label are left out. Null when one of
+    the classes is missing. The counts per score are written once, so that what
+    gave the scores runs once.
     """
     by_score = (
-        scored.filter(F.col(score).isNotNull() & F.col(label).isin(0, 1))
+        scored.filter(has_score(score) & F.col(label).isin(0, 1))
         .groupBy(F.col(score).cast("double").alias("score"))
         .agg(
             F.count(F.when(F.col(label) == 1, 1)).alias("pos"),
             F.count(F.when(F.col(label) == 0, 1)).alias("neg"),
         )
     )
+    by_score = stage(by_score, "by-score")
     shares = [i / SCORE_RANGES for i in range(1, SCORE_RANGES)]
     cuts = sorted(set(by_score.approxQuantile("score", shares, 1 / (4 * SCORE_RANGES))))
     if cuts:
@@ -76,6 +86,8 @@ def roc_auc(scored: DataFrame, label: str = LABEL, score: str = SCORE) -> DataFr
 def confusion_matrix(scored: DataFrame, label: str = LABEL, score: str = SCORE) -> DataFrame:
     """Actual and predicted class with their frequency: always four rows.
 
+    Rows without a score have no predicted class and are in none of them.
+
     Four conditional counts in one pass, then one row per cell.
     """
     predicted = predicted_class(score)
@@ -99,8 +111,11 @@ def metrics(
     scored: DataFrame, train_rows: int | DataFrame, label: str = LABEL, score: str = SCORE,
     observation_filter: str = "ObservationDays >= 365",
 ) -> DataFrame:
-    """AUC, accuracy and row counts of the test set, as one row."""
-    right = (F.col(score) >= CLASS_CUTOFF).cast("int") == F.col(label)
+    """AUC, accuracy and row counts of the test set, as one row.
+
+    Rows without a score count as test rows only.
+    """
+    right = F.when(has_score(score), (F.col(score) >= CLASS_CUTOFF).cast("int") == F.col(label))
     counts = scored.agg(F.avg(right.cast("int")).alias("accuracy"), F.count("*").alias("test_rows"))
     if isinstance(train_rows, DataFrame):
         counts = counts.crossJoin(train_rows.agg(F.count("*").alias("train_rows")))
@@ -114,13 +129,21 @@ def metrics(
     )
 
 
-def with_risk_tier(scored: DataFrame, score: str = SCORE) -> DataFrame:
-    """Add ``risk_group`` by the terciles of the score over all rows.
+def tier_cuts(scored: DataFrame, score: str = SCORE) -> tuple[float | None, float | None]:
+    """Terciles of the score; several passes, so ``scored`` should be a stored table."""
+    first, second = exact_quantiles(scored, score, [Fraction(1, 3), Fraction(2, 3)])
+    return first, second
+
+
+def with_risk_tier(
+    scored: DataFrame, score: str = SCORE, cuts: tuple[float | None, float | None] | None = None
+) -> DataFrame:
+    """Add ``risk_group`` by known cuts, else by the terciles of the score over all rows.
 
     Tiers are cut at values, so equal scores share a tier and tiers may differ
-    in size.
+    in size. A row without a score falls through to the last tier.
     """
-    first, second = exact_quantiles(scored, score, [Fraction(1, 3), Fraction(2, 3)])
+    first, second = cuts or tier_cuts(scored, score)
     low, medium, high = RISK_TIERS
     tier = (
         F.when(F.col(score) < F.lit(first).cast("double"), low)
@@ -146,9 +169,9 @@ def risk_tier_report(tiered: DataFrame, label: str = LABEL, score: str = SCORE)
 
 
 def outreach_list(tiered: DataFrame, tier: str = "High", score: str = SCORE) -> DataFrame:
-    """Journeys of one tier to contact, highest score first."""
+    """Journeys of one tier to contact, highest score first; none without a score."""
     return (
-        tiered.filter(F.col("risk_group") == tier)
+        tiered.filter((F.col("risk_group") == tier) & has_score(score))
         .select(JOURNEY, "PatientDurableKey", score, "risk_group")
         .orderBy(F.desc(score), JOURNEY)
     )

@@ -17,14 +17,15 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lapsekit.operators.evaluate import SCORE
 from lapsekit.session import stage
 from lapsekit.settings import FEATURES, JOURNEY, LABEL, LUMP_LIMITS, SEED
 
-# Rows per group within which values are exchanged for permutation importance.
-ROWS_PER_EXCHANGE = 20_000
+# Random groups within which values are exchanged for permutation importance. The number does not
+# follow the row count, so the measure is the same at every size; raise it where a group outgrows a task.
+EXCHANGE_GROUPS = 32
 
 
 @dataclass(frozen=True)
@@ -66,8 +67,10 @@ def train_forest(
     """Fit the forest; the label is 0/1, so class index and label value agree.
 
     Rows are placed by key and sorted within partitions first: bootstrap draws
-    follow row order, and the same rows must give the same forest however the
-    input files were cut. Levels unseen in training get an index of their own.
+    follow row order, so the same rows give the same forest however the input
+    files were cut, for one ``partitions`` (by default the session's shuffle
+    partitions; another number draws another, equally good forest). Levels
+    unseen in training get an index of their own.
     """
     count = train.agg(F.min(label).alias("lo"), F.max(label).alias("hi")).first()
     if (count["lo"], count["hi"]) != (0, 1):
@@ -122,25 +125,30 @@ def gini_importance(forest: Forest, spark: SparkSession) -> DataFrame:
 
 
 def permutation_importance(
-    forest: Forest, rows: DataFrame, *, key: str = JOURNEY, seed: int = SEED
+    forest: Forest, rows: DataFrame, *, key: str = JOURNEY, seed: int = SEED, groups: int = EXCHANGE_GROUPS
 ) -> DataFrame:
     """Rise of the squared error of the score when a feature's values are exchanged.
 
     Every row takes the feature value of the next row of its group in seeded
-    random order; groups are random and of bounded size, so no sort spans all
-    rows. Each row is scored once as it is and once per feature, all in one
-    pass. Features the trees never split on cannot change a score: they are
-    zero without being scored.
+    random order; the ``groups`` are random, so no sort spans all rows. Every
+    row is scored as it is and once per feature whose exchanged value differs
+    from its own: an equal value cannot change the score. Features the trees
+    never split on are zero without being scored.
     """
     gains = forest.model.stages[-1].featureImportances.toArray()
     used = [i for i, gain in enumerate(gains) if gain > 0]
+    names = F.array(*(F.lit(name) for name in forest.features))
+    all_features = rows.sparkSession.range(len(forest.features)).select(
+        F.col("id").cast("int").alias("feature"), F.element_at(names, F.col("id").cast("int") + 1).alias("variable")
+    )
+    if not used:
+        return all_features.select("variable", F.lit(0.0).alias("importance")).orderBy("variable")
     inputs = forest.inputs()
-    prepared = rows.select(key, forest.label, *forest.features)
+    prepared = rows.filter(F.col(forest.label).isNotNull()).select(key, forest.label, *forest.features)
     for fitted in forest.model.stages[:-2]:
         prepared = fitted.transform(prepared)
     prepared = prepared.select(key, forest.label, *inputs)
 
-    groups = max(1, rows.count() // ROWS_PER_EXCHANGE)
     place = F.xxhash64(F.lit(seed), F.col(key))
     prepared = prepared.withColumn("_place", place).withColumn("_group", F.pmod("_place", F.lit(groups)))
     order = Window.partitionBy("_group").orderBy("_place", key)
@@ -149,35 +157,54 @@ def permutation_importance(
         F.lead(values).over(order),
         F.first(values).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
     )
-    paired = prepared.withColumn("_other", neighbour) if used else prepared
-    copies = paired.withColumn("_exchanged", F.explode(F.array(F.lit(-1), *(F.lit(i) for i in used))))
-    exchanged = {
-        inputs[i]: F.when(F.col("_exchanged") == i, F.col("_other")[inputs[i]]).otherwise(F.col(inputs[i]))
-        for i in used
-    }
-    scored = copies.withColumns(exchanged) if used else copies
+    paired = prepared.withColumn("_other", neighbour)
+    differs = {i: ~F.col(inputs[i]).eqNullSafe(F.col("_other")[inputs[i]]) for i in used}
+    changed = F.array_compact(F.array(*(F.when(differs[i], F.lit(i)) for i in used)))
+    copies = paired.withColumn("_changed", changed).withColumn(
+        "_exchanged", F.explode(F.concat(F.array(F.lit(-1)), F.col("_changed")))
+    )
+    scored = copies.withColumns(
+        {
+            inputs[i]: F.when(F.col("_exchanged") == i, F.col("_other")[inputs[i]]).otherwise(F.col(inputs[i]))
+            for i in used
+        }
+    )
     for fitted in forest.model.stages[-2:]:
         scored = fitted.transform(scored)
     error = F.col(forest.label) - vector_to_array("probability")[1]
-    errors = scored.groupBy("_exchanged").agg(F.avg(error * error).alias("error"))
+    scored = scored.select("_exchanged", "_changed", (error * error).alias("error"))
 
-    base = errors.filter("_exchanged = -1").select(F.col("error").alias("base_error"))
-    names = F.array(*(F.lit(name) for name in forest.features))
-    all_features = rows.sparkSession.range(len(forest.features)).select(
-        F.col("id").cast("int").alias("_exchanged"), F.element_at(names, F.col("id").cast("int") + 1).alias("variable")
+    # A copy adds its error to its feature; the row as it is takes its own error from every feature
+    # it has a copy for, and adds one to the count of rows, kept under -1.
+    def part(feature: Column, value: Column) -> Column:
+        return F.struct(feature.alias("feature"), value.alias("value"))
+
+    own = F.concat(
+        F.array(part(F.lit(-1), F.lit(1.0))), F.transform("_changed", lambda i: part(i, -F.col("error")))
+    )
+    parts = F.when(F.col("_exchanged") < 0, own).otherwise(F.array(part(F.col("_exchanged"), F.col("error"))))
+    sums = (
+        scored.select(F.explode(parts).alias("part")).groupBy(F.col("part.feature").alias("feature"))
+        .agg(F.sum("part.value").alias("rise"))
     )
+    n = sums.filter("feature = -1").select(F.col("rise").alias("n"))
     # One row per feature.
     return (
-        all_features.join(errors, "_exchanged", "left")
-        .crossJoin(F.broadcast(base))
-        .select("variable", F.coalesce(F.col("error") - F.col("base_error"), F.lit(0.0)).alias("importance"))
+        all_features.join(sums, "feature", "left")
+        .join(F.broadcast(n), F.lit(True), "left")
+        .select("variable", F.coalesce(F.col("rise") / F.col("n"), F.lit(0.0)).alias("importance"))
         .orderBy(F.desc("importance"), "variable")
     )
 
 
 def save_forest(forest: Forest, path: str) -> None:
-    forest.model.write().overwrite().save(path)
+    """Stages under ``model``; the features in their order and the label under ``inputs``."""
+    forest.model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.active()
+    inputs = spark.createDataFrame([(list(forest.features), forest.label)], "features array<string>, label string")
+    inputs.coalesce(1).write.mode("overwrite").parquet(f"{path}/inputs")
 
 
-def load_forest(path: str, features: Sequence[str] = FEATURES, label: str = LABEL) -> Forest:
-    return Forest(PipelineModel.load(path), tuple(features), label)
+def load_forest(spark: SparkSession, path: str) -> Forest:
+    inputs = spark.read.parquet(f"{path}/inputs").first()
+    return Forest(PipelineModel.load(f"{path}/model"), tuple(inputs["features"]), inputs["label"])

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lapsekit.session import stage
 from lapsekit.settings import LUMP_LIMITS, OTHER_LEVEL
@@ -86,6 +86,30 @@ class Lumping:
         return df.join(kept, value == F.col("_kept"), "left").withColumn(name, lumped).drop("_kept")
 
 
+def kept_table(lumping: Lumping, spark: SparkSession) -> DataFrame:
+    """The kept levels as rows (variable, level), to be stored with a model."""
+    if lumping.table is not None:
+        return lumping.table
+    rows = [(name, level) for name, levels in lumping.levels.items() for level in levels]
+    return spark.createDataFrame(rows, "variable string, level string")
+
+
+def lumping_of(
+    kept: DataFrame, variables: Sequence[str] = tuple(LUMP_LIMITS), max_literals: int = MAX_LITERAL_LEVELS
+) -> Lumping:
+    """The lumping of stored kept levels (variable, level).
+
+    The driver gets at most ``max_literals`` level names.
+    """
+    found = kept.select("variable", "level").limit(max_literals + 1).collect()
+    if len(found) > max_literals:
+        return Lumping(tuple(variables), None, kept)
+    levels: dict[str, list[str]] = {}
+    for row in found:
+        levels.setdefault(row["variable"], []).append(row["level"])
+    return Lumping(tuple(variables), {name: tuple(sorted(v)) for name, v in levels.items()}, None)
+
+
 def fit_lumping(
     df: DataFrame, limits: Mapping[str, int] = LUMP_LIMITS, max_literals: int = MAX_LITERAL_LEVELS
 ) -> Lumping:

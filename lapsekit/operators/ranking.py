@@ -32,7 +32,8 @@ def rate_spread_importance(
         .agg(F.count("*").alias("n"), F.sum("y").alias("gaps"))
     )
     # Sum of n * rate^2 and of n * rate per variable give the variance.
-    square = F.sum(F.col("gaps") * F.col("gaps") / F.col("n"))
+    # The product is taken in doubles: it can pass what a bigint holds.
+    square = F.sum(F.col("gaps").cast("double") * F.col("gaps") / F.col("n"))
     mean = F.sum("gaps") / F.sum("n")
     return levels.groupBy("variable").agg((square / F.sum("n") - mean * mean).alias("importance"))
 

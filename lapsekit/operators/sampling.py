@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lapsekit.settings import JOURNEY, SAMPLE_CAP, SEED, TRAIN_FRACTION
+from lapsekit.settings import JOURNEY, SEED, TRAIN_FRACTION
 
 # A refinement step splits by this many hex digits, so it counts 4,096 groups.
 DIGITS_PER_STEP = 3
@@ -113,9 +113,9 @@ def with_split(
 
 
 def sample_cap(
-    df: DataFrame, cap: int | None = SAMPLE_CAP, *, key: str = JOURNEY, seed: int = SEED
+    df: DataFrame, cap: int | None = None, *, key: str = JOURNEY, seed: int = SEED
 ) -> DataFrame:
-    """Exactly ``cap`` random rows when there are more; else all rows."""
+    """Exactly ``cap`` random rows when there are more; else, and without a cap, all rows."""
     if cap is None:
         return df
     order = digest(key, f"{seed}:sample")

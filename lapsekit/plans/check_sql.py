@@ -7,7 +7,7 @@ of counted ranges.
 
 from __future__ import annotations
 
-from lapsekit.plans.queries import DIGITS, MODEL_LABEL, SAMPLE_ROWS, SCORE_KEYS
+from lapsekit.plans.queries import DIGITS, MODEL_LABEL, PLANTED, PLANTED_LEVEL, SAMPLE_ROWS, SCORE_KEYS
 from lapsekit.settings import BINARY_FEATURES, FEATURES, LUMP_LIMITS, RISK_DOMAINS
 
 _DOMAIN_COUNTS = ",\n".join(
@@ -393,6 +393,19 @@ FROM tiered WHERE risk_group = 'High'""",
         "top_k_importance": f"""{_importance()}
 SELECT variable, importance FROM importance ORDER BY importance DESC, variable LIMIT 15""",
         "top_predictors": predictors,
+        # One feature decides the forest's label: every test row must be told right.
+        "rf_train_score": f"""{_split()}
+SELECT 1.0::DOUBLE AS auc, 1.0::DOUBLE AS accuracy, COUNT(*) AS test_rows, (SELECT COUNT(*) FROM train) AS train_rows,
+  'ObservationDays >= 365' AS observation_filter, TRUE AS removed_first_encounter_year
+FROM split WHERE split = 'test'""",
+        "scored_journeys": f"""{_split()}
+SELECT JourneyKey, CAST({PLANTED} = '{PLANTED_LEVEL}' AS INTEGER) AS {MODEL_LABEL},
+  CASE WHEN {PLANTED} = '{PLANTED_LEVEL}' THEN 'LongGap' ELSE 'NoLongGap' END AS predicted_class
+FROM split WHERE split = 'test'""",
+        "rf_risk_tiers": f"""{_split()}
+SELECT COUNT(*) AS journeys, TRUE AS rates_never_fall FROM split WHERE split = 'test'""",
+        "variable_importance": f"""SELECT variable, variable = '{PLANTED}' AS is_first FROM ({_constant()})
+WHERE is_constant = 0 AND variable <> '{MODEL_LABEL}'""",
         "sink_csv_roundtrip": _rounded(f"""{ELIGIBLE}
 SELECT MyChartStatus, COUNT(*) AS journeys, AVG(LongGap180) AS long_gap_180_rate
 FROM eligible GROUP BY MyChartStatus""", "long_gap_180_rate"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 from lapsekit.functions import labels
@@ -37,8 +37,10 @@ from lapsekit.settings import (
     PORTAL_GROUPS_LONG,
     PORTAL_ORDER_LONG,
     PREDICTOR_RENAMES,
+    RISK_TIERS,
     SOCIAL_RISK_NAMES,
     SOCIAL_RISK_NAMES_RECORDED,
+    rate_name,
 )
 from lapsekit.sources.csv_reports import read_report, write_report
 from lapsekit.sources.star_schema import journey_inputs
@@ -50,7 +52,9 @@ MODEL_LABEL = "LongGap365"
 SCORE_KEYS = ("FirstDepartmentSpecialty", "FirstEncounterType")
 # Size of the registered sample; below the row count of every test scale but the least.
 SAMPLE_ROWS = 1_000
-FOREST = forest.ForestSettings(trees=30, max_depth=8)
+FOREST = forest.ForestSettings()
+# The registered forest learns a label that this feature decides, so that its results are known.
+PLANTED, PLANTED_LEVEL = "SexAssignedAtBirth", "F"
 DIGITS = 9
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,10 +106,16 @@ def rate_tiered_test(spark: SparkSession, folder: str) -> DataFrame:
 _forests: dict[tuple, forest.Forest] = {}
 
 
+def planted_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """All model rows, the label replaced by the planted one."""
+    planted = (F.col(PLANTED) == PLANTED_LEVEL).cast("int")
+    return model_rows(spark, folder).withColumn(MODEL_LABEL, planted)
+
+
 def fitted_forest(spark: SparkSession, folder: str) -> forest.Forest:
     key = input_state(spark, folder)
     if key not in _forests:
-        rows = model_rows(spark, folder)
+        rows = planted_rows(spark, folder)
         train = rows.filter("split = 'train'")
         features = varying_features(rows, MODEL_LABEL)
         _forests[key] = forest.train_forest(train, features, label=MODEL_LABEL, settings=FOREST)
@@ -114,7 +124,7 @@ def fitted_forest(spark: SparkSession, folder: str) -> forest.Forest:
 
 def forest_scored_test(spark: SparkSession, folder: str) -> DataFrame:
     def build() -> DataFrame:
-        test = model_rows(spark, folder).filter("split = 'test'")
+        test = planted_rows(spark, folder).filter("split = 'test'")
         return forest.score(fitted_forest(spark, folder), test)
 
     return stored(spark, folder, "forest_scored", build)
@@ -169,17 +179,27 @@ def importance_of_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def forest_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    train = model_rows(spark, folder).filter("split = 'train'")
+    train = planted_rows(spark, folder).filter("split = 'train'")
     return evaluate.metrics(forest_scored_test(spark, folder), train, MODEL_LABEL)
 
 
 def forest_tiers(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluate.risk_tier_report(evaluate.with_risk_tier(forest_scored_test(spark, folder)), MODEL_LABEL)
+    """Journeys of all tiers, and whether the rate never falls from Low to High."""
+    tiers = evaluate.risk_tier_report(evaluate.with_risk_tier(forest_scored_test(spark, folder)), MODEL_LABEL)
+    rate = F.col(f"actual_{rate_name(MODEL_LABEL)}")
+    in_order = Window.orderBy(labels.level_position(F.col("risk_group"), RISK_TIERS))  # three rows
+    fell = F.coalesce(rate < F.lag(rate).over(in_order), F.lit(False))
+    return tiers.withColumn("fell", fell).agg(
+        F.sum("journeys").alias("journeys"), (~F.bool_or("fell")).alias("rates_never_fall")
+    )
 
 
 def forest_importance(spark: SparkSession, folder: str) -> DataFrame:
-    test = model_rows(spark, folder).filter("split = 'test'")
-    return forest.permutation_importance(fitted_forest(spark, folder), test)
+    """Every feature, and whether it is the most important one."""
+    test = planted_rows(spark, folder).filter("split = 'test'")
+    importance = forest.permutation_importance(fitted_forest(spark, folder), test)
+    best_first = Window.orderBy(F.desc("importance"))  # a row per feature
+    return importance.select("variable", (F.rank().over(best_first) == 1).alias("is_first"))
 
 
 def _on_eligible(report: Callable[..., DataFrame], *args, **options) -> Query:
@@ -239,7 +259,7 @@ REGISTRY: dict[str, Query] = {
     "top_predictors": lambda spark, folder: ranking.top_predictors(importance_of_rates(spark, folder)),
     "rf_train_score": forest_metrics,
     "scored_journeys": lambda spark, folder: forest_scored_test(spark, folder).select(
-        JOURNEY, MODEL_LABEL, evaluate.SCORE
+        JOURNEY, MODEL_LABEL, evaluate.predicted_class().alias("predicted_class")
     ),
     "rf_risk_tiers": forest_tiers,
     "variable_importance": forest_importance,

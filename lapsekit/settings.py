@@ -14,7 +14,6 @@ MIN_SUPPORT = 50
 MAX_CHARTED_GAP = 1460
 SEED = 123
 TRAIN_FRACTION = 0.75
-SAMPLE_CAP = 200_000
 
 PATIENT = "PatientDurableKey"
 JOURNEY = "JourneyKey"

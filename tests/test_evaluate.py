@@ -85,3 +85,16 @@ def test_tiers_follow_the_score(spark):
     assert len(outreach) == report[2]["journeys"]
     scores = [r["predicted_probability"] for r in outreach]
     assert scores == sorted(scores, reverse=True)
+
+
+def test_rows_without_a_score_are_in_no_class_tier_list_or_curve(spark):
+    rows = [("a", "p", 1, 0.9), ("b", "p", 0, 0.1), ("c", "p", 1, None), ("d", "p", 0, float("nan"))]
+    scored = spark.createDataFrame(
+        rows, "JourneyKey string, PatientDurableKey string, LongGap180 int, predicted_probability double"
+    )
+    assert sum(r["Freq"] for r in evaluate.confusion_matrix(scored).collect()) == 2
+    assert evaluate.roc_auc(scored).first()["auc"] == 1.0
+    got = evaluate.metrics(scored, 0).first()
+    assert (got["auc"], got["accuracy"], got["test_rows"]) == (1.0, 1.0, 4)
+    high = evaluate.outreach_list(evaluate.with_risk_tier(scored)).collect()
+    assert [r["JourneyKey"] for r in high] == ["a"]

@@ -50,10 +50,23 @@ def test_importance_does_not_depend_on_partitions(planted, fitted):
     assert one == pytest.approx(many, abs=1e-9)
 
 
-def test_importance_in_several_exchange_groups(monkeypatch, planted, fitted):
-    monkeypatch.setattr(forest, "ROWS_PER_EXCHANGE", 40)
-    got = forest.permutation_importance(fitted, planted.filter("split = 'test'")).first()
-    assert got["variable"] == "FirstDepartmentSpecialty" and got["importance"] > 0.1
+@pytest.mark.parametrize("groups", [1, 8])
+def test_importance_equals_exchanging_one_feature_at_a_time(planted, fitted, groups):
+    test = planted.filter("split = 'test'")
+    got = {r["variable"]: r["importance"] for r in forest.permutation_importance(fitted, test, groups=groups).collect()}
+    assert max(got, key=got.get) == "FirstDepartmentSpecialty"
+    rows = test.withColumn("_place", F.xxhash64(F.lit(123), F.col("JourneyKey"))).toPandas()
+    rows["_group"] = rows["_place"] % groups
+    rows = rows.sort_values(["_group", "_place"]).reset_index(drop=True)
+    def squared_error(frame):
+        scored = forest.score(fitted, test.sparkSession.createDataFrame(frame[["LongGap180", *FEATURES]]))
+        return scored.select(F.avg(F.pow(F.col("LongGap180") - F.col(evaluate.SCORE), 2))).first()[0]
+    base = squared_error(rows)
+    for name in ("FirstDepartmentSpecialty", "SexAssignedAtBirth", "FoodRisk"):
+        swapped = rows.copy()
+        for _, at in rows.groupby("_group").groups.items():
+            swapped.loc[at, name] = [*rows.loc[at, name].tolist()[1:], rows.loc[at[0], name].item() if hasattr(rows.loc[at[0], name], "item") else rows.loc[at[0], name]]
+        assert got[name] == pytest.approx(squared_error(swapped) - base, abs=1e-12)
 
 
 def test_same_rows_give_the_same_forest(planted):
@@ -69,7 +82,8 @@ def test_unseen_level_is_scored_and_forest_survives_storage(spark, planted, fitt
     row = planted.limit(1).withColumn("FirstDepartmentSpecialty", F.lit("never seen"))
     assert forest.score(fitted, row).count() == 1
     forest.save_forest(fitted, str(tmp_path / "forest"))
-    loaded = forest.load_forest(str(tmp_path / "forest"), fitted.features)
+    loaded = forest.load_forest(spark, str(tmp_path / "forest"))
+    assert (loaded.features, loaded.label) == (fitted.features, fitted.label)
     test = planted.filter("split = 'test'")
     score = {r["JourneyKey"]: r["predicted_probability"] for r in forest.score(fitted, test).collect()}
     again = {r["JourneyKey"]: r["predicted_probability"] for r in forest.score(loaded, test).collect()}
@@ -101,6 +115,13 @@ def test_rate_spread_finds_the_planted_feature(planted):
     assert got["importance"] == pytest.approx(0.25, abs=0.01)
 
 
+def test_rate_spread_beyond_what_a_bigint_product_holds(spark):
+    big = 4_000_000_000
+    frame = spark.createDataFrame([("a", big), ("b", 0)], "FoodRisk string, LongGap180 bigint")
+    got = ranking.rate_spread_importance(frame, features=["FoodRisk"]).first()["importance"]
+    assert got == pytest.approx((big / 2) ** 2)
+
+
 def test_top_lists_with_and_without_ties(spark):
     rows = [(name, 1.0 if i < 9 else 0.5) for i, name in enumerate(FEATURES)]
     table = spark.createDataFrame(rows, "variable string, importance double")
