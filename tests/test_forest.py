@@ -65,7 +65,8 @@ def test_importance_equals_exchanging_one_feature_at_a_time(planted, fitted, gro
     for name in ("FirstDepartmentSpecialty", "SexAssignedAtBirth", "FoodRisk"):
         swapped = rows.copy()
         for _, at in rows.groupby("_group").groups.items():
-            swapped.loc[at, name] = [*rows.loc[at, name].tolist()[1:], rows.loc[at[0], name].item() if hasattr(rows.loc[at[0], name], "item") else rows.loc[at[0], name]]
+            values = rows.loc[at, name].tolist()
+            swapped.loc[at, name] = values[1:] + values[:1]
         assert got[name] == pytest.approx(squared_error(swapped) - base, abs=1e-12)
 
 
