@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lapsekit.llm import exact_dedup, license_scan, mixing, near_dedup, packing, pii, quality, sharding, url_filter, warc
+from lapsekit.llm import (
+    exact_dedup,
+    fill_in_middle,
+    license_scan,
+    mixing,
+    near_dedup,
+    packing,
+    pii,
+    quality,
+    resampling,
+    sharding,
+    simhash,
+    url_filter,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +43,11 @@ def url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     return verdicts.withColumnRenamed("at", "fetched_at")
 
 
+def importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{folder.rstrip('/')}/benchmark.parquet")
+    return resampling.resample(documents(spark, folder), benchmark)
+
+
 REGISTRY: dict[str, Query] = {
     "op1_pii": _on_documents(pii.pii_digest),
     "op2_warc_revisits": warc_revisits,
@@ -40,6 +59,9 @@ REGISTRY: dict[str, Query] = {
     "op8_near_dedup": _on_documents(near_dedup.near_duplicate_classes),
     "op9_quality": _on_documents(quality.quality_scores),
     "op10_url_filter": url_verdicts,
+    "op11_fill_in_middle": _on_documents(fill_in_middle.fill_in_middle_digest),
+    "op12_simhash": _on_documents(simhash.simhash_digest),
+    "op13_resampling": importance_resampling,
 }
 
 
