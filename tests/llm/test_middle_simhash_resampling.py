@@ -140,7 +140,7 @@ def test_simhash(request, table):
     assert Counter(map(tuple, simhash.simhash_digest(df).collect())) == expected
 
 
-@pytest.mark.parametrize("limit", [simhash.LIMIT, 40, 3])
+@pytest.mark.parametrize("limit", [simhash.LIMIT, 40])
 def test_links_connect_clusters_chains_and_crowds(spark, limit):
     """Dense balls, chains and fingerprints that share most of their bits, with keys cut further or not."""
     rng = np.random.default_rng(7)
