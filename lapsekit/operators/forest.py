@@ -17,15 +17,16 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lapsekit.operators import importance
 from lapsekit.operators.evaluate import SCORE
 from lapsekit.session import stage
 from lapsekit.settings import FEATURES, JOURNEY, LABEL, LUMP_LIMITS, SEED
 
-# Random groups within which values are exchanged for permutation importance. The number does not
-# follow the row count, so the measure is the same at every size; raise it where a group outgrows a task.
-EXCHANGE_GROUPS = 32
+# Training rows are dealt to this many tasks at least, and to one more for each further number of rows.
+# Both are fixed, so that the forest follows from its rows and its seed, whatever cluster fits it.
+LEAST_PARTITIONS, ROWS_PER_PARTITION = 16, 250_000
 
 
 @dataclass(frozen=True)
@@ -62,23 +63,22 @@ def train_forest(
     label: str = LABEL,
     settings: ForestSettings = ForestSettings(),
     key: str = JOURNEY,
-    partitions: int | None = None,
 ) -> Forest:
     """Fit the forest; the label is 0/1, so class index and label value agree.
 
-    Rows are placed by key and sorted within partitions first: bootstrap draws
-    follow row order, so the same rows give the same forest however the input
-    files were cut, for one ``partitions`` (by default the session's shuffle
-    partitions; another number draws another, equally good forest). Levels
-    unseen in training get an index of their own.
+    Bootstrap draws follow the partitions and the order within them, so both
+    are set here from the rows alone: their number decides the number of
+    partitions, their key the partition and the order. The same rows and seed
+    give the same forest on any session. Levels unseen in training get an
+    index of their own.
     """
-    count = train.agg(F.min(label).alias("lo"), F.max(label).alias("hi")).first()
+    count = train.agg(F.min(label).alias("lo"), F.max(label).alias("hi"), F.count(F.lit(1)).alias("n")).first()
     if (count["lo"], count["hi"]) != (0, 1):
         raise ValueError(f"{label} must hold both 0 and 1 in the training rows")
-    partitions = partitions or int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = stage(
-        train.select(key, label, *features).repartition(partitions, key).sortWithinPartitions(key), "train"
-    )
+    partitions = max(LEAST_PARTITIONS, -(-count["n"] // ROWS_PER_PARTITION))
+    # Dealt again after the table is read: how files are cut into tasks depends on the cluster.
+    stored = stage(train.select(key, label, *features), "train")
+    placed = stored.repartition(partitions, key).sortWithinPartitions(key)
     categorical = [name for name in features if name in LUMP_LIMITS]
     stages: list = []
     most_levels = 0
@@ -88,7 +88,7 @@ def train_forest(
             outputCols=[_indexed(name) for name in categorical],
             handleInvalid="keep",
             stringOrderType="frequencyDesc",
-        ).fit(placed)
+        ).fit(stored)
         stages.append(indexer)
         most_levels = max(len(levels) for levels in indexer.labelsArray) + 1
     assembler = VectorAssembler(inputCols=[_indexed(name) for name in features], outputCol="features")
@@ -124,77 +124,36 @@ def gini_importance(forest: Forest, spark: SparkSession) -> DataFrame:
     )
 
 
-def permutation_importance(
-    forest: Forest, rows: DataFrame, *, key: str = JOURNEY, seed: int = SEED, groups: int = EXCHANGE_GROUPS
-) -> DataFrame:
-    """Rise of the squared error of the score when a feature's values are exchanged.
+def permutation_importance(forest: Forest, rows: DataFrame, *, key: str = JOURNEY, seed: int = SEED) -> DataFrame:
+    """Rise of the squared error of the score when a feature's values are exchanged; see ``operators.importance``.
 
-    Every row takes the feature value of the next row of its group in seeded
-    random order; the ``groups`` are random, so no sort spans all rows. Every
-    row is scored as it is and once per feature whose exchanged value differs
-    from its own: an equal value cannot change the score. Features the trees
-    never split on are zero without being scored.
+    Levels are indexed before the exchange, so a copy costs the trees alone.
+    Features the trees never split on are zero without being scored.
     """
     gains = forest.model.stages[-1].featureImportances.toArray()
-    used = [i for i, gain in enumerate(gains) if gain > 0]
-    names = F.array(*(F.lit(name) for name in forest.features))
-    all_features = rows.sparkSession.range(len(forest.features)).select(
-        F.col("id").cast("int").alias("feature"), F.element_at(names, F.col("id").cast("int") + 1).alias("variable")
-    )
+    used = {column: name for column, name, gain in zip(forest.inputs(), forest.features, gains) if gain > 0}
+    spark = rows.sparkSession
+    unused = [(name, 0.0) for name in forest.features if name not in used.values()]
+    zero = spark.createDataFrame(unused, "variable string, importance double")
     if not used:
-        return all_features.select("variable", F.lit(0.0).alias("importance")).orderBy("variable")
-    inputs = forest.inputs()
-    prepared = rows.filter(F.col(forest.label).isNotNull()).select(key, forest.label, *forest.features)
+        return zero.orderBy("variable")
+    assembler, trees = forest.model.stages[-2:]
+    prepared = rows.select(key, forest.label, *forest.features)
     for fitted in forest.model.stages[:-2]:
         prepared = fitted.transform(prepared)
-    prepared = prepared.select(key, forest.label, *inputs)
-
-    place = F.xxhash64(F.lit(seed), F.col(key))
-    prepared = prepared.withColumn("_place", place).withColumn("_group", F.pmod("_place", F.lit(groups)))
-    order = Window.partitionBy("_group").orderBy("_place", key)
-    values = F.struct(*(inputs[i] for i in used))
-    neighbour = F.coalesce(
-        F.lead(values).over(order),
-        F.first(values).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-    )
-    paired = prepared.withColumn("_other", neighbour)
-    differs = {i: ~F.col(inputs[i]).eqNullSafe(F.col("_other")[inputs[i]]) for i in used}
-    changed = F.array_compact(F.array(*(F.when(differs[i], F.lit(i)) for i in used)))
-    copies = paired.withColumn("_changed", changed).withColumn(
-        "_exchanged", F.explode(F.concat(F.array(F.lit(-1)), F.col("_changed")))
-    )
-    scored = copies.withColumns(
-        {
-            inputs[i]: F.when(F.col("_exchanged") == i, F.col("_other")[inputs[i]]).otherwise(F.col(inputs[i]))
-            for i in used
-        }
-    )
-    for fitted in forest.model.stages[-2:]:
-        scored = fitted.transform(scored)
-    error = F.col(forest.label) - vector_to_array("probability")[1]
-    scored = scored.select("_exchanged", "_changed", (error * error).alias("error"))
-
-    # A copy adds its error to its feature; the row as it is takes its own error from every feature
-    # it has a copy for, and adds one to the count of rows, kept under -1.
-    def part(feature: Column, value: Column) -> Column:
-        return F.struct(feature.alias("feature"), value.alias("value"))
-
-    own = F.concat(
-        F.array(part(F.lit(-1), F.lit(1.0))), F.transform("_changed", lambda i: part(i, -F.col("error")))
-    )
-    parts = F.when(F.col("_exchanged") < 0, own).otherwise(F.array(part(F.col("_exchanged"), F.col("error"))))
-    sums = (
-        scored.select(F.explode(parts).alias("part")).groupBy(F.col("part.feature").alias("feature"))
-        .agg(F.sum("part.value").alias("rise"))
-    )
-    n = sums.filter("feature = -1").select(F.col("rise").alias("n"))
+    idle = [column for column in forest.inputs() if column not in used]
+
+    def score(df: DataFrame) -> DataFrame:
+        # What the trees never look at may be anything.
+        whole = df.withColumns({column: F.lit(0.0) for column in idle}) if idle else df
+        scored = trees.transform(assembler.transform(whole)).withColumn(SCORE, vector_to_array("probability")[1])
+        return scored.select(*df.columns, SCORE)
+
+    found = importance.permutation_importance(prepared, list(used), score, label=forest.label, key=key, seed=seed)
     # One row per feature.
-    return (
-        all_features.join(sums, "feature", "left")
-        .join(F.broadcast(n), F.lit(True), "left")
-        .select("variable", F.coalesce(F.col("rise") / F.col("n"), F.lit(0.0)).alias("importance"))
-        .orderBy(F.desc("importance"), "variable")
-    )
+    names = spark.createDataFrame(list(used.items()), "column string, name string")
+    named = found.join(F.broadcast(names), F.col("variable") == F.col("column")).select(F.col("name").alias("variable"), "importance")
+    return named.unionByName(zero).orderBy(F.desc("importance"), "variable")
 
 
 def save_forest(forest: Forest, path: str) -> None:

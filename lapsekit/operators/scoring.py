@@ -24,6 +24,16 @@ def join_small(df: DataFrame, lookup: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(spark.createDataFrame(rows, lookup.schema)), on, "left")
 
 
+def level_rates(train: DataFrame, keys: Sequence[str], label: str = LABEL) -> tuple[float, dict[str, DataFrame]]:
+    """The overall gap rate, and per key the smoothed rate of each of its levels (key, rate)."""
+    overall = train.agg(F.count(label).alias("n"), F.sum(label).alias("gaps")).first()
+    if not overall["n"]:
+        raise ValueError("no labelled rows to learn rates from")
+    base = overall["gaps"] / overall["n"]
+    rate = (F.sum(label) + PRIOR_JOURNEYS * base) / (F.count(label) + PRIOR_JOURNEYS)
+    return base, {key: train.filter(F.col(key).isNotNull()).groupBy(key).agg(rate.alias("rate")) for key in keys}
+
+
 def rate_scores(
     train: DataFrame, rows: DataFrame, keys: Sequence[str], label: str = LABEL
 ) -> DataFrame:
@@ -31,13 +41,8 @@ def rate_scores(
 
     A level that train does not hold gets the overall rate.
     """
-    overall = train.agg(F.count(label).alias("n"), F.sum(label).alias("gaps")).first()
-    if not overall["n"]:
-        raise ValueError("no labelled rows to learn rates from")
-    base = overall["gaps"] / overall["n"]
+    base, rates = level_rates(train, keys, label)
     for key in keys:
-        rate = (F.sum(label) + PRIOR_JOURNEYS * base) / (F.count(label) + PRIOR_JOURNEYS)
-        lookup = train.filter(F.col(key).isNotNull()).groupBy(key).agg(rate.alias(f"_{key}"))
-        rows = join_small(rows, lookup, key)
+        rows = join_small(rows, rates[key].withColumnRenamed("rate", f"_{key}"), key)
     total = sum((F.coalesce(F.col(f"_{key}"), F.lit(base)) for key in keys), F.lit(0.0))
     return rows.withColumn("predicted_probability", total / len(keys)).drop(*(f"_{key}" for key in keys))

@@ -7,7 +7,7 @@ of counted ranges.
 
 from __future__ import annotations
 
-from lapsekit.plans.queries import DIGITS, MODEL_LABEL, PLANTED, PLANTED_LEVEL, SAMPLE_ROWS, SCORE_KEYS
+from lapsekit.plans.queries import DIGITS, MODEL_LABEL, PLANTED, SAMPLE_ROWS, SCORE_KEYS
 from lapsekit.settings import BINARY_FEATURES, FEATURES, LUMP_LIMITS, RISK_DOMAINS
 
 _DOMAIN_COUNTS = ",\n".join(
@@ -18,6 +18,8 @@ _DOMAIN_COUNTS = ",\n".join(
 _DOMAIN_FLAGS = ",\n".join(f"CAST(COALESCE({name}, 0) AS INTEGER) AS {name}" for name in RISK_DOMAINS)
 _DOMAIN_SUM = " + ".join(f"COALESCE({name}, 0)" for name in RISK_DOMAINS)
 
+_PLANTED = " AND ".join(f"{name} {'=' if has else '<>'} '{level}'" for name, (level, has) in PLANTED.items())
+
 JOURNEYS = f"""
 WITH encounter AS (
   SELECT o_custkey AS patient, l_linestatus AS part, CAST(l_shipdate AS DATE) AS day,
@@ -182,6 +184,46 @@ tiered AS (
   FROM scored, cuts)"""
 
 
+def _scored_all() -> str:
+    """Every eligible journey by the rates and cuts of the split rows."""
+    joins = " ".join(f"LEFT JOIN rate{i} ON rate{i}.level = e.{key}" for i, key in enumerate(SCORE_KEYS))
+    rates = " + ".join(f"COALESCE(rate{i}.rate, (SELECT rate FROM base))" for i in range(len(SCORE_KEYS)))
+    lumped = ", ".join(
+        f"CASE WHEN {key} IS NULL OR {key} IN (SELECT level FROM levels WHERE variable = '{key}' AND kept) THEN {key} ELSE 'Other' END AS {key}"
+        for key in SCORE_KEYS
+    )
+    return f"""{_tiered()},
+every_lumped AS (SELECT JourneyKey, PatientDurableKey, {lumped} FROM eligible),
+every_scored AS (
+  SELECT JourneyKey, PatientDurableKey, (0.0::DOUBLE + {rates}) / {len(SCORE_KEYS)} AS p FROM every_lumped e {joins}),
+everyone AS (
+  SELECT *, CASE WHEN p < low THEN 'Low' WHEN p < high THEN 'Medium' ELSE 'High' END AS risk_group FROM every_scored, cuts)"""
+
+
+def _rate_permutation() -> str:
+    """Test rows numbered by digest; of each feature the value some places on, by the digest of its name."""
+    parts = []
+    for name in LUMP_LIMITS:
+        if name not in SCORE_KEYS:
+            parts.append(f"SELECT '{name}' AS variable, 0.0::DOUBLE AS importance")
+            continue
+        i = SCORE_KEYS.index(name)
+        others = " + ".join(f"{'o' if j == i else 't'}.r{j}" for j in range(len(SCORE_KEYS)))
+        shift = f"(1 + CAST('0x' || substr(md5('123:{name}'), 1, 8) AS BIGINT) % (t.n - 1))"
+        parts.append(
+            f"SELECT '{name}' AS variable, avg(power(t.y - (0.0::DOUBLE + {others}) / {len(SCORE_KEYS)}, 2) - power(t.y - t.p, 2)) AS importance"
+            f" FROM numbered t JOIN numbered o ON o.place = (t.place + {shift}) % t.n"
+        )
+    rates = ", ".join(f"COALESCE(rate{i}.rate, (SELECT rate FROM base)) AS r{i}" for i in range(len(SCORE_KEYS)))
+    joins = " ".join(f"LEFT JOIN rate{i} ON rate{i}.level = s.{key}" for i, key in enumerate(SCORE_KEYS))
+    return f"""{_scored()},
+numbered AS (
+  SELECT {rates}, scored.y, scored.p, COUNT(*) OVER () AS n,
+    ROW_NUMBER() OVER (ORDER BY md5('123:exchange:' || s.JourneyKey), s.JourneyKey) - 1 AS place
+  FROM split s JOIN scored ON scored.JourneyKey = s.JourneyKey {joins})
+SELECT variable, round(importance, {DIGITS}) AS importance FROM ({' UNION ALL '.join(parts)})"""
+
+
 def _importance() -> str:
     parts = " UNION ALL ".join(
         f"SELECT '{name}' AS variable, SUM(n * rate * rate) / SUM(n) - power(SUM(n * rate) / SUM(n), 2) AS importance"
@@ -393,18 +435,27 @@ FROM tiered WHERE risk_group = 'High'""",
         "top_k_importance": f"""{_importance()}
 SELECT variable, importance FROM importance ORDER BY importance DESC, variable LIMIT 15""",
         "top_predictors": predictors,
-        # One feature decides the forest's label: every test row must be told right.
+        "score_all_journeys": f"{_scored_all()} SELECT JourneyKey, PatientDurableKey, round(p, {DIGITS}) AS predicted_probability, risk_group FROM everyone",
+        "outreach_all_journeys": f"""{_scored_all()}
+SELECT JourneyKey, PatientDurableKey, round(p, {DIGITS}) AS predicted_probability, risk_group FROM everyone WHERE risk_group = 'High'""",
+        "rate_permutation_importance": _rate_permutation(),
+        # Two features decide the forest's label: every test row must be told right.
         "rf_train_score": f"""{_split()}
 SELECT 1.0::DOUBLE AS auc, 1.0::DOUBLE AS accuracy, COUNT(*) AS test_rows, (SELECT COUNT(*) FROM train) AS train_rows,
   'ObservationDays >= 365' AS observation_filter, TRUE AS removed_first_encounter_year
 FROM split WHERE split = 'test'""",
         "scored_journeys": f"""{_split()}
-SELECT JourneyKey, CAST({PLANTED} = '{PLANTED_LEVEL}' AS INTEGER) AS {MODEL_LABEL},
-  CASE WHEN {PLANTED} = '{PLANTED_LEVEL}' THEN 'LongGap' ELSE 'NoLongGap' END AS predicted_class
+SELECT JourneyKey, CAST({_PLANTED} AS INTEGER) AS {MODEL_LABEL},
+  CASE WHEN {_PLANTED} THEN 'LongGap' ELSE 'NoLongGap' END AS predicted_class
 FROM split WHERE split = 'test'""",
+        "bundle_scored_journeys": f"""{_levels()}
+SELECT JourneyKey, PatientDurableKey, CASE WHEN {_PLANTED} THEN 'LongGap' ELSE 'NoLongGap' END AS predicted_class
+FROM eligible WHERE {' AND '.join(f"{name} IS NOT NULL" for name in FEATURES)}""",
+        # Less than two thirds and more than one third have the label, so the outer tiers hold one class each.
         "rf_risk_tiers": f"""{_split()}
-SELECT COUNT(*) AS journeys, TRUE AS rates_never_fall FROM split WHERE split = 'test'""",
-        "variable_importance": f"""SELECT variable, variable = '{PLANTED}' AS is_first FROM ({_constant()})
+SELECT risk_group, CAST((SELECT COUNT(*) FROM split WHERE split = 'test') AS BIGINT) AS journeys_of_all, rate AS actual_{_rate()}
+FROM (VALUES ('Low', 0.0::DOUBLE), ('Medium', NULL), ('High', 1.0::DOUBLE)) t(risk_group, rate)""",
+        "variable_importance": f"""SELECT variable, variable IN ({', '.join(f"'{name}'" for name in PLANTED)}) AS is_decisive FROM ({_constant()})
 WHERE is_constant = 0 AND variable <> '{MODEL_LABEL}'""",
         "sink_csv_roundtrip": _rounded(f"""{ELIGIBLE}
 SELECT MyChartStatus, COUNT(*) AS journeys, AVG(LongGap180) AS long_gap_180_rate

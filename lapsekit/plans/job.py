@@ -79,8 +79,6 @@ class JobSettings:
     split_by: str | None = None
     # Learn the kept levels from all rows, or from the training rows alone.
     lump_on_train_only: bool = False
-    # Random groups within which permutation importance exchanges values.
-    exchange_groups: int = forest.EXCHANGE_GROUPS
     trees: forest.ForestSettings = field(default_factory=forest.ForestSettings)
 
 
@@ -153,7 +151,7 @@ def write_model(journeys: DataFrame, output: str, settings: JobSettings = JobSet
     save_bundle(bundle, f"{output}/model", rows.sparkSession)
     tiered = write_table(evaluate.with_risk_tier(scored, cuts=bundle.cuts), f"{output}/scored_journeys")
     importance = stage(
-        forest.permutation_importance(fitted, test, seed=settings.seed, groups=settings.exchange_groups), "importance"
+        forest.permutation_importance(fitted, test, seed=settings.seed), "importance"
     )
     reports = {
         METRICS: evaluate.metrics(
@@ -224,7 +222,6 @@ def main() -> None:
     parser.add_argument("--sample-rows", type=int, help="bound on the rows the forest is fitted on")
     parser.add_argument("--split-by", help="column whose rows stay on one side of the split")
     parser.add_argument("--lump-on-train-only", action="store_true")
-    parser.add_argument("--exchange-groups", type=int, default=forest.EXCHANGE_GROUPS)
     parser.add_argument("--trees", type=int, default=forest.ForestSettings.trees)
     parser.add_argument("--max-depth", type=int, default=forest.ForestSettings.max_depth)
     parser.add_argument("--min-node-size", type=int, default=forest.ForestSettings.min_node_size)
@@ -239,7 +236,6 @@ def main() -> None:
         sample_rows=args.sample_rows,
         split_by=args.split_by,
         lump_on_train_only=args.lump_on_train_only,
-        exchange_groups=args.exchange_groups,
         trees=forest.ForestSettings(
             trees=args.trees, max_depth=args.max_depth, min_node_size=args.min_node_size, seed=args.seed
         ),

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 from lapsekit.functions import labels
@@ -13,7 +16,9 @@ from lapsekit.operators.build import build_journeys
 from lapsekit.operators.cohort import eligible, gap_groups, gap_values
 from lapsekit.operators.frame import constant_columns, model_columns, model_frame, varying_features
 from lapsekit.operators.histogram import histogram
-from lapsekit.operators.lumping import lumped_levels
+from lapsekit.operators.importance import permutation_importance
+from lapsekit.operators.lumping import fit_lumping, lumped_levels
+from lapsekit.operators.rate_model import rate_model, score_by_model
 from lapsekit.operators.reports import (
     cohort_summary,
     encounter_type_report,
@@ -27,12 +32,14 @@ from lapsekit.operators.reports import (
 )
 from lapsekit.operators.sampling import mark_split, sample_cap, split_cutoff
 from lapsekit.operators.scoring import rate_scores
+from lapsekit.plans.bundle import Bundle, load_bundle, save_bundle, score_journeys
 from lapsekit.plans.store import input_state, stored, stored_journeys
 from lapsekit.session import new_path
 from lapsekit.settings import (
     GROUPED_HISTOGRAM_BINS,
     HISTOGRAM_BINS,
     JOURNEY,
+    LUMP_LIMITS,
     PATIENT,
     PORTAL_GROUPS_LONG,
     PORTAL_ORDER_LONG,
@@ -53,8 +60,10 @@ SCORE_KEYS = ("FirstDepartmentSpecialty", "FirstEncounterType")
 # Size of the registered sample; below the row count of every test scale but the least.
 SAMPLE_ROWS = 1_000
 FOREST = forest.ForestSettings()
-# The registered forest learns a label that this feature decides, so that its results are known.
-PLANTED, PLANTED_LEVEL = "SexAssignedAtBirth", "F"
+# One registered forest learns the real label; another a label that these two features decide, so that its
+# results are known: the first has its level and the second has not.
+PLANTED = {"SexAssignedAtBirth": ("F", True), "OmbRace": ("AFRICA", False)}
+PLANTED_FOREST = forest.ForestSettings(trees=100)
 DIGITS = 9
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +84,7 @@ def eligible_journeys(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _cutoffs: dict[tuple, str] = {}
+_forest_lock = threading.RLock()
 
 
 def model_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,30 +116,85 @@ def rate_tiered_test(spark: SparkSession, folder: str) -> DataFrame:
 _forests: dict[tuple, forest.Forest] = {}
 
 
+def planted_label() -> Column:
+    return reduce(and_, ((F.col(name) == level) == has for name, (level, has) in PLANTED.items())).cast("int")
+
+
 def planted_rows(spark: SparkSession, folder: str) -> DataFrame:
     """All model rows, the label replaced by the planted one."""
-    planted = (F.col(PLANTED) == PLANTED_LEVEL).cast("int")
-    return model_rows(spark, folder).withColumn(MODEL_LABEL, planted)
+    return model_rows(spark, folder).withColumn(MODEL_LABEL, planted_label())
 
 
-def fitted_forest(spark: SparkSession, folder: str) -> forest.Forest:
-    key = input_state(spark, folder)
-    if key not in _forests:
-        rows = planted_rows(spark, folder)
-        train = rows.filter("split = 'train'")
-        features = varying_features(rows, MODEL_LABEL)
-        _forests[key] = forest.train_forest(train, features, label=MODEL_LABEL, settings=FOREST)
-    return _forests[key]
+def _fitted(spark: SparkSession, folder: str, name: str, rows: DataFrame, settings: forest.ForestSettings) -> forest.Forest:
+    key = (*input_state(spark, folder), name)
+    with _forest_lock:
+        if key not in _forests:
+            features = varying_features(rows, MODEL_LABEL)
+            _forests[key] = forest.train_forest(rows.filter("split = 'train'"), features, label=MODEL_LABEL, settings=settings)
+        return _forests[key]
 
 
-def forest_scored_test(spark: SparkSession, folder: str) -> DataFrame:
+def planted_forest(spark: SparkSession, folder: str) -> forest.Forest:
+    return _fitted(spark, folder, "planted", planted_rows(spark, folder), PLANTED_FOREST)
+
+
+def real_forest(spark: SparkSession, folder: str) -> forest.Forest:
+    return _fitted(spark, folder, "real", model_rows(spark, folder), FOREST)
+
+
+def planted_scored_test(spark: SparkSession, folder: str) -> DataFrame:
     def build() -> DataFrame:
         test = planted_rows(spark, folder).filter("split = 'test'")
-        return forest.score(fitted_forest(spark, folder), test)
+        return forest.score(planted_forest(spark, folder), test)
+
+    return stored(spark, folder, "planted_scored", build)
+
+
+def forest_scored_test(spark: SparkSession, folder: str) -> DataFrame:
+    """Test rows with the score of the forest that learnt the real label."""
+
+    def build() -> DataFrame:
+        test = model_rows(spark, folder).filter("split = 'test'")
+        return forest.score(real_forest(spark, folder), test)
 
     return stored(spark, folder, "forest_scored", build)
 
 
+def stored_rate_model(spark: SparkSession, folder: str) -> DataFrame:
+    """The rate model of the training rows, its tiers cut at the test rows' scores, as a stored table."""
+
+    def build() -> DataFrame:
+        lumping = fit_lumping(model_columns(eligible_journeys(spark, folder), MODEL_LABEL))
+        train = model_rows(spark, folder).filter("split = 'train'")
+        cuts = evaluate.tier_cuts(rate_scored_test(spark, folder))
+        return rate_model(train, SCORE_KEYS, lumping, cuts, MODEL_LABEL)
+
+    return stored(spark, folder, "rate_model", build)
+
+
+def score_all_journeys(spark: SparkSession, folder: str) -> DataFrame:
+    """Every eligible journey by the stored rate model, its label known or not."""
+    return score_by_model(stored_rate_model(spark, folder), eligible_journeys(spark, folder), SCORE_KEYS)
+
+
+def bundle_scored_journeys(spark: SparkSession, folder: str) -> DataFrame:
+    """Every eligible journey with all features by a forest that was stored and loaded; the class it predicts."""
+    lumping = fit_lumping(model_columns(eligible_journeys(spark, folder), MODEL_LABEL))
+    cuts = evaluate.tier_cuts(planted_scored_test(spark, folder))
+    path = new_path(spark, "bundle")
+    save_bundle(Bundle(planted_forest(spark, folder), lumping, cuts), path, spark)
+    scored = score_journeys(load_bundle(spark, path), eligible_journeys(spark, folder).drop(MODEL_LABEL))
+    return scored.select(JOURNEY, PATIENT, evaluate.predicted_class().alias("predicted_class"))
+
+
+def rate_permutation_importance(spark: SparkSession, folder: str) -> DataFrame:
+    """Importance of every lumped feature for the rate score on the test rows; zero for those it doesn't use."""
+    rows = model_rows(spark, folder)
+    train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    score = lambda df: rate_scores(train, df, SCORE_KEYS, MODEL_LABEL)
+    return permutation_importance(test, list(LUMP_LIMITS), score, label=MODEL_LABEL)
+
+
 def scan_journeys(spark: SparkSession, folder: str) -> DataFrame:
     return stored_journeys(spark, folder).select(JOURNEY, PATIENT, "FirstDate", "MaxGapDays", "LongGap180")
 
@@ -178,28 +243,36 @@ def importance_of_rates(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(ranking.rate_spread_importance(model_rows(spark, folder), MODEL_LABEL))
 
 
-def forest_metrics(spark: SparkSession, folder: str) -> DataFrame:
+def planted_metrics(spark: SparkSession, folder: str) -> DataFrame:
     train = planted_rows(spark, folder).filter("split = 'train'")
+    return evaluate.metrics(planted_scored_test(spark, folder), train, MODEL_LABEL)
+
+
+def forest_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    train = model_rows(spark, folder).filter("split = 'train'")
     return evaluate.metrics(forest_scored_test(spark, folder), train, MODEL_LABEL)
 
 
-def forest_tiers(spark: SparkSession, folder: str) -> DataFrame:
-    """Journeys of all tiers, and whether the rate never falls from Low to High."""
-    tiers = evaluate.risk_tier_report(evaluate.with_risk_tier(forest_scored_test(spark, folder)), MODEL_LABEL)
-    rate = F.col(f"actual_{rate_name(MODEL_LABEL)}")
-    in_order = Window.orderBy(labels.level_position(F.col("risk_group"), RISK_TIERS))  # three rows
-    fell = F.coalesce(rate < F.lag(rate).over(in_order), F.lit(False))
-    return tiers.withColumn("fell", fell).agg(
-        F.sum("journeys").alias("journeys"), (~F.bool_or("fell")).alias("rates_never_fall")
+def planted_tiers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every tier with its rate where the label's share fixes it: the outer ones, which hold a single class."""
+    rate = f"actual_{rate_name(MODEL_LABEL)}"
+    tiers = evaluate.risk_tier_report(evaluate.with_risk_tier(planted_scored_test(spark, folder)), MODEL_LABEL)
+    every = Window.partitionBy(F.lit(0))  # three rows
+    return tiers.select(
+        "risk_group", F.sum("journeys").over(every).alias("journeys_of_all"), F.when(F.col("risk_group") != RISK_TIERS[1], F.col(rate)).alias(rate)
     )
 
 
-def forest_importance(spark: SparkSession, folder: str) -> DataFrame:
-    """Every feature, and whether it is the most important one."""
+def forest_tiers(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.risk_tier_report(evaluate.with_risk_tier(forest_scored_test(spark, folder)), MODEL_LABEL)
+
+
+def planted_importance(spark: SparkSession, folder: str) -> DataFrame:
+    """Every feature, and whether it is one of as many most important ones as decide the label."""
     test = planted_rows(spark, folder).filter("split = 'test'")
-    importance = forest.permutation_importance(fitted_forest(spark, folder), test)
+    found = forest.permutation_importance(planted_forest(spark, folder), test)
     best_first = Window.orderBy(F.desc("importance"))  # a row per feature
-    return importance.select("variable", (F.rank().over(best_first) == 1).alias("is_first"))
+    return found.select("variable", (F.rank().over(best_first) <= len(PLANTED)).alias("is_decisive"))
 
 
 def _on_eligible(report: Callable[..., DataFrame], *args, **options) -> Query:
@@ -257,16 +330,27 @@ REGISTRY: dict[str, Query] = {
     "rate_importance": importance_of_rates,
     "top_k_importance": lambda spark, folder: ranking.top_importance(importance_of_rates(spark, folder)),
     "top_predictors": lambda spark, folder: ranking.top_predictors(importance_of_rates(spark, folder)),
-    "rf_train_score": forest_metrics,
-    "scored_journeys": lambda spark, folder: forest_scored_test(spark, folder).select(
+    "score_all_journeys": score_all_journeys,
+    "outreach_all_journeys": lambda spark, folder: evaluate.outreach_list(score_all_journeys(spark, folder)),
+    "rate_permutation_importance": rate_permutation_importance,
+    "rf_train_score": planted_metrics,
+    "scored_journeys": lambda spark, folder: planted_scored_test(spark, folder).select(
         JOURNEY, MODEL_LABEL, evaluate.predicted_class().alias("predicted_class")
     ),
-    "rf_risk_tiers": forest_tiers,
-    "variable_importance": forest_importance,
+    "bundle_scored_journeys": bundle_scored_journeys,
+    "rf_risk_tiers": planted_tiers,
+    "variable_importance": planted_importance,
+    "rf_real_metrics": forest_metrics,
+    "rf_real_scores": lambda spark, folder: forest_scored_test(spark, folder).select(JOURNEY, MODEL_LABEL, evaluate.SCORE),
+    "rf_real_risk_tiers": forest_tiers,
     "sink_csv_roundtrip": sink_csv_roundtrip,
 }
 
 
+# What a forest learns from the real label no SQL can know; tests compute these again from the scores.
+WITHOUT_SQL = ("rf_real_metrics", "rf_real_scores", "rf_real_risk_tiers")
+
+
 def queries() -> dict[str, Query]:
     def with_rounding(query: Query) -> Query:
         return lambda spark, folder: rounded(query(spark, folder))

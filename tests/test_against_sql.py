@@ -45,7 +45,7 @@ def _sortable(row):
 
 
 def test_every_query_has_sql():
-    assert set(SQL) == set(QUERIES)
+    assert set(SQL) == set(QUERIES) - set(registered.WITHOUT_SQL)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

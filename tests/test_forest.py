@@ -1,8 +1,11 @@
+import hashlib
+
 import pytest
 from frames import model_rows
 from pyspark.sql import functions as F
 
 from lapsekit.operators import evaluate, forest, ranking
+from lapsekit.operators.importance import exchange_shift
 from lapsekit.operators.frame import varying_features
 from lapsekit.settings import FEATURES
 
@@ -50,33 +53,48 @@ def test_importance_does_not_depend_on_partitions(planted, fitted):
     assert one == pytest.approx(many, abs=1e-9)
 
 
-@pytest.mark.parametrize("groups", [1, 8])
-def test_importance_equals_exchanging_one_feature_at_a_time(planted, fitted, groups):
+def test_importance_equals_exchanging_one_feature_at_a_time(spark, planted, fitted):
     test = planted.filter("split = 'test'")
-    got = {r["variable"]: r["importance"] for r in forest.permutation_importance(fitted, test, groups=groups).collect()}
+    got = {r["variable"]: r["importance"] for r in forest.permutation_importance(fitted, test).collect()}
     assert max(got, key=got.get) == "FirstDepartmentSpecialty"
-    rows = test.withColumn("_place", F.xxhash64(F.lit(123), F.col("JourneyKey"))).toPandas()
-    rows["_group"] = rows["_place"] % groups
-    rows = rows.sort_values(["_group", "_place"]).reset_index(drop=True)
-    def squared_error(frame):
-        scored = forest.score(fitted, test.sparkSession.createDataFrame(frame[["LongGap180", *FEATURES]]))
-        return scored.select(F.avg(F.pow(F.col("LongGap180") - F.col(evaluate.SCORE), 2))).first()[0]
+    rows = [r.asDict() for r in test.collect()]
+    rows.sort(key=lambda r: (hashlib.md5(f"123:exchange:{r['JourneyKey']}".encode()).hexdigest(), r["JourneyKey"]))
+    columns = ["LongGap180", *FEATURES]
+
+    def squared_error(values):
+        frame = spark.createDataFrame([tuple(r[c] for c in columns) for r in values], test.select(columns).schema)
+        return forest.score(fitted, frame).select(F.avg(F.pow(F.col("LongGap180") - F.col(evaluate.SCORE), 2))).first()[0]
+
     base = squared_error(rows)
     for name in ("FirstDepartmentSpecialty", "SexAssignedAtBirth", "FoodRisk"):
-        swapped = rows.copy()
-        for _, at in rows.groupby("_group").groups.items():
-            values = rows.loc[at, name].tolist()
-            swapped.loc[at, name] = values[1:] + values[:1]
+        shift = exchange_shift(forest._indexed(name), len(rows))
+        assert 0 < shift < len(rows)
+        swapped = [r | {name: rows[(i + shift) % len(rows)][name]} for i, r in enumerate(rows)]
         assert got[name] == pytest.approx(squared_error(swapped) - base, abs=1e-12)
 
 
-def test_same_rows_give_the_same_forest(planted):
+def test_unused_and_idle_features_are_zero(planted):
+    train = planted.filter("split = 'train'")
+    small = forest.train_forest(train, ["FirstDepartmentSpecialty", "OmbRace"], settings=forest.ForestSettings(trees=3, max_depth=3))
+    got = {r["variable"]: r["importance"] for r in forest.permutation_importance(small, planted.filter("split = 'test'")).collect()}
+    assert got["OmbRace"] == 0.0 and got["FirstDepartmentSpecialty"] > 0.1
+
+
+def test_same_rows_give_the_same_forest_on_any_session(spark, planted):
+    """Input files, shuffle partitions and cores don't matter: the partitions of the fit follow from the rows."""
     train = planted.filter("split = 'train'")
-    trees = [
-        forest.train_forest(df, ["FirstDepartmentSpecialty", "FoodRisk"], settings=SMALL).model.stages[-1].toDebugString
-        for df in (train.coalesce(1), train.repartition(7))
-    ]
-    assert trees[0].split("\n")[1:] == trees[1].split("\n")[1:]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    trees = []
+    try:
+        for df, partitions, split in ((train.coalesce(1), "4", "128m"), (train.repartition(7), "8", "16k"), (train, "3", "1m")):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            fitted = forest.train_forest(df, ["FirstDepartmentSpecialty", "FoodRisk", "SexAssignedAtBirth"], settings=SMALL)
+            trees.append(fitted.model.stages[-1].toDebugString.split("\n")[1:])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert trees[0] == trees[1] == trees[2]
 
 
 def test_unseen_level_is_scored_and_forest_survives_storage(spark, planted, fitted, tmp_path):
