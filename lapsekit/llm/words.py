@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Distinct words whose hashes a task keeps; beyond that the table is begun anew.
-CACHE = 1_000_000
+#: Distinct words whose hashes a task keeps, about 200 bytes each; beyond that the table is begun anew.
+CACHE = 100_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
