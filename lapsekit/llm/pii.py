@@ -1,19 +1,20 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust the score.
 
 Column expressions only. A pattern's spans come from cutting the text at its
-matches: the pieces between matches give both the positions (running lengths)
-and the neighbouring words, so that a text is read a fixed number of times
-however many matches it holds. All patterns use possessive repeats and start
-only where a run of their characters starts, so they are linear on any text.
+matches: running lengths of the pieces and matches give the positions, and the
+pieces and matches just before and after one its neighbouring words. All
+patterns use possessive repeats and start only where a run of their characters
+starts, so they are linear on any text, and so is what follows the cutting.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lapsekit.llm.arrays import let, sums_before
+
 #: Code points before a span, and after it as far as the next match of its kind, in which context words count.
 CONTEXT = 40
 #: Score from which a span of a kind without a base rule is reported.
@@ -21,52 +22,31 @@ THRESHOLD = 0.6
 CONTEXT_GAIN = 0.3
 
 
-def _digits(match: Column) -> Column:
-    return F.regexp_replace(match, "[^0-9]", "")
-
-
-def _ip_parts(match: Column) -> Column:
-    return match.rlike(r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$")
-
-
-def _card(match: Column) -> Column:
-    digits = _digits(match)
-    return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
-
-
-def _phone(match: Column) -> Column:
-    return F.length(_digits(match)).between(9, 15)
-
-
-def _iban(match: Column) -> Column:
-    """Mod 97 of the rearranged account, letters as 10 to 35, digit group by digit group."""
-    plain = F.replace(match, F.lit(" "), F.lit(""))
-    moved = F.concat(F.substr(plain, F.lit(5)), F.substr(plain, F.lit(1), F.lit(4)))
-
-    def step(rest: Column, char: Column) -> Column:
-        code = F.ascii(char)
-        return F.when(code < 58, (rest * 10 + code - 48) % 97).otherwise((rest * 100 + code - 55) % 97).cast("int")
-
-    return F.length(plain).between(15, 34) & (F.aggregate(F.split(moved, ""), F.lit(0), step) == 1)
-
-
-def _routing(match: Column) -> Column:
-    digit = [F.substr(match, F.lit(i + 1), F.lit(1)).cast("int") for i in range(9)]
-    total = sum(weight * digit[i] for i, weight in enumerate((3, 7, 1) * 3))
-    return (total % 10 == 0) & (match != "000000000")
-
-
-def _any(match: Column) -> Column:
-    return F.lit(True)
+# Tests that a match has to pass, as SQL of the match ``m``.
+_DIGITS = "regexp_replace(m, '[^0-9]', '')"
+_IP = r"m RLIKE r'^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$'"
+_CARD = f"length({_DIGITS}) BETWEEN 13 AND 19 AND luhn_check({_DIGITS})"
+_PHONE = f"length({_DIGITS}) BETWEEN 9 AND 15"
+_PLAIN = "replace(m, ' ', '')"
+# Mod 97 of the rearranged account, letters as 10 to 35, digit group by digit group.
+_IBAN = (
+    f"length({_PLAIN}) BETWEEN 15 AND 34 AND aggregate(split(concat(substr({_PLAIN}, 5), left({_PLAIN}, 4)), ''), 0,"
+    " (rest, c) -> CAST(if(ascii(c) < 58, rest * 10 + ascii(c) - 48, rest * 100 + ascii(c) - 55) % 97 AS int)) = 1"
+)
+# Weights 3, 7, 1 over nine digits.
+_ROUTING = "m <> '000000000' AND aggregate(sequence(1, 9), 0, (t, i) -> t + element_at(array(1, 3, 7), i % 3 + 1) * int(substr(m, i, 1))) % 10 = 0"
+# Letters and digits, and many different ones of them: not a word, a name or a plain number.
+_RANDOM = "m RLIKE '[0-9]' AND m RLIKE '[A-Za-z]' AND size(array_distinct(split(m, ''))) >= 10"
+_ANY = "true"
 
 
 @dataclass(frozen=True)
 class Kind:
-    """A pattern, the test its matches have to pass, and how they are scored."""
+    """A pattern, the test its matches have to pass, and how they are scored. No text holds an apostrophe."""
 
     name: str
     pattern: str
-    valid: Callable[[Column], Column]
+    valid: str
     prior: float
     words: str
     #: Characters without which the pattern can't match: texts without them are skipped.
@@ -79,56 +59,59 @@ KINDS = (
     Kind(
         "email",
         r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-        _any, 0.8, r"mail|contact|write to", needs="@", base=True,
+        _ANY, 0.8, r"mail|contact|write to", needs="@", base=True,
     ),
-    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _ip_parts, 0.6, r"\bip\b|address|host|server", base=True),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", _card, 0.7, r"card|visa|credit|payment", base=True),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", _phone, 0.6, r"phone|call|tel|mobile|fax", needs=r"\+[0-9]", base=True),
+    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _IP, 0.6, r"\bip\b|address|host|server", base=True),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", _CARD, 0.7, r"card|visa|credit|payment", base=True),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", _PHONE, 0.6, r"phone|call|tel|mobile|fax", needs=r"\+[0-9]", base=True),
     Kind(
         "iban",
         r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
-        _iban, 0.7, r"iban|account|bank", needs="[A-Z]{2}[0-9]{2}",
+        _IBAN, 0.7, r"iban|account|bank", needs="[A-Z]{2}[0-9]{2}",
     ),
     Kind(
         "ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
-        _any, 0.4, r"\bssn\b|social security", needs="[0-9]-[0-9]",
+        _ANY, 0.4, r"\bssn\b|social security", needs="[0-9]-[0-9]",
+    ),
+    Kind(
+        "secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+=*+(?![A-Za-z0-9])",
+        _RANDOM, 0.4, r"token|secret|passw|\bpwd\b|api.?key|access.?key|private.?key|credential|bearer", needs="[A-Za-z0-9+/_-]{20}",
     ),
-    Kind("routing", r"(?<![0-9A-Za-z.-])[0-9]{9}(?![0-9A-Za-z-])", _routing, 0.4, r"routing|\baba\b|bank", needs="[0-9]{9}"),
+    Kind(
+        "known_key", r"(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|xox[abp]-[0-9A-Za-z-]{20,}+)(?![A-Za-z0-9_])",
+        _ANY, 0.8, r"token|key|secret", needs="AKIA|gh[opsu]_|xox[abp]-",
+    ),
+    Kind("routing", r"(?<![0-9A-Za-z.-])[0-9]{9}(?![0-9A-Za-z-])", _ROUTING, 0.4, r"routing|\baba\b|bank", needs="[0-9]{9}"),
 )
 BASE_KINDS = tuple(kind.name for kind in KINDS if kind.base)
 
-_SPAN = "struct<kind:string,start:bigint,end:bigint,text:string,score:double>"
-
-
-def _spans(text: Column, kind: Kind) -> Column:
-    """The confirmed and scored spans of one kind, by start."""
-    pieces = F.split(text, kind.pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).alias("i"), F.array().cast(f"array<{_SPAN}>").alias("found"), F.lit("").alias("tail"))
-
-    def step(state: Column, pair: Column) -> Column:
-        piece, match = pair["pieces"], pair["matches"]
-        start = state["at"] + F.length(piece)
-        end = start + F.coalesce(F.length(match), F.lit(0))
-        before = F.right(F.concat(state["tail"], F.right(piece, F.lit(CONTEXT))), F.lit(CONTEXT))
-        near = F.concat_ws(" ", before, F.left(F.coalesce(pair["after"], F.lit("")), F.lit(CONTEXT)))
-        score = F.lit(kind.prior) + F.when(near.rlike("(?i)" + kind.words), CONTEXT_GAIN).otherwise(0.0)
-        score = F.round(F.least(score, F.lit(1.0)), 2)
-        reported = match.isNotNull() & kind.valid(match) & (F.lit(kind.base) | (score >= THRESHOLD))
-        span = F.struct(
-            F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), match.alias("text"), score.alias("score")
-        )
-        return F.struct(
-            end.alias("at"), (state["i"] + 1).alias("i"),
-            F.when(reported, F.concat(state["found"], F.array(span).cast(f"array<{_SPAN}>"))).otherwise(state["found"]).alias("found"),
-            F.right(F.concat(before, F.coalesce(F.right(match, F.lit(CONTEXT)), F.lit(""))), F.lit(CONTEXT)).alias("tail"),
-        )
-
-    after = F.slice(pieces, F.lit(2), F.size(pieces))
-    pairs = F.arrays_zip(pieces.alias("pieces"), matches.alias("matches"), after.alias("after"))
-    return F.when(text.rlike(kind.needs), F.aggregate(pairs, first, step, lambda state: state["found"])).otherwise(
-        F.array().cast(f"array<{_SPAN}>")
+_SPAN = "array<struct<kind:string,start:bigint,end:bigint,text:string,score:double>>"
+#: A match and the piece before it have three characters together at least, so these reach back over the context.
+BACK = CONTEXT // 3 + 1
+
+
+def _spans(text: str, kind: Kind) -> str:
+    """SQL of the confirmed and scored spans of one kind in the text, by start."""
+    cut = f"named_struct('pieces', split({text}, r'{kind.pattern}', -1), 'matches', regexp_extract_all({text}, r'{kind.pattern}', 0))"
+    lengths = "zip_with(cut.pieces, cut.matches, (p, m) -> bigint(length(p) + coalesce(length(m), 0)))"
+    placed = "transform(cut.matches, (m, i) -> named_struct('text', m, 'i', i, 'start', get(before, i) + length(get(cut.pieces, i))))"
+    confirmed = f"filter({placed}, found -> {let('found.text', 'm', kind.valid)})"
+    first = f"greatest(found.i - {BACK}, 0)"
+    earlier = (
+        f"zip_with(slice(cut.pieces, {first} + 1, found.i - {first}), slice(cut.matches, {first} + 1, found.i - {first}),"
+        f" (p, m) -> concat(right(p, {CONTEXT}), right(m, {CONTEXT})))"
+    )
+    ahead = f"right(concat(array_join({earlier}, ''), right(get(cut.pieces, found.i), {CONTEXT})), {CONTEXT})"
+    near = f"concat_ws(' ', {ahead}, left(coalesce(get(cut.pieces, found.i + 1), ''), {CONTEXT}))"
+    score = f"round(least({kind.prior}D + if({near} RLIKE r'(?i){kind.words}', {CONTEXT_GAIN}D, 0D), 1D), 2)"
+    scored = (
+        f"transform({confirmed}, found -> named_struct('kind', '{kind.name}', 'start', found.start,"
+        f" 'end', found.start + length(found.text), 'text', found.text, 'score', {score}))"
     )
+    spans = let(cut, "cut", let(sums_before(lengths), "before", scored))
+    if not kind.base:
+        spans = f"filter({spans}, span -> span.score >= {THRESHOLD}D)"
+    return f"if({text} RLIKE r'{kind.needs}', CAST({spans} AS {_SPAN}), CAST(array() AS {_SPAN}))"
 
 
 def find_pii(df: DataFrame, text: str = "text", into: str = "pii", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
@@ -138,8 +121,8 @@ def find_pii(df: DataFrame, text: str = "text", into: str = "pii", kinds: tuple[
     overlap; those of different kinds may. A null or empty text has no span.
     Repeated rows stay repeated. A column of ``df`` named as ``into`` is replaced.
     """
-    source = F.coalesce(F.col(text), F.lit(""))
-    return df.withColumn(into, F.concat(*(_spans(source, kind) for kind in kinds)))
+    source = f"coalesce(`{text}`, '')"
+    return df.withColumn(into, F.expr(f"concat({', '.join(_spans(source, kind) for kind in kinds)})"))
 
 
 def _listed(spans: Column) -> Column:
@@ -148,7 +131,11 @@ def _listed(spans: Column) -> Column:
 
 
 def pii_digest(df: DataFrame) -> DataFrame:
-    """Per row: counts and digest of the base spans, all spans and their scores as text."""
+    """Per row: counts and digest of the base spans, all spans and their scores as text, and their number.
+
+    Rows are as those of ``find_pii``: null and empty texts have no span,
+    repeated rows stay repeated, an empty table gives no row.
+    """
     found = find_pii(df.select("doc_id", "text")).select("doc_id", "pii")
     base = F.filter("pii", lambda s: s["kind"].isin(*BASE_KINDS))
 
@@ -161,4 +148,5 @@ def pii_digest(df: DataFrame) -> DataFrame:
         F.sha2(_listed(base), 256).alias("base_sha256"),
         _listed(F.col("pii")).alias("spans"),
         F.array_join(F.transform("pii", lambda s: s["score"].cast("string")), ",").alias("scores"),
+        F.size("pii").cast("bigint").alias("n_spans"),
     )

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lapsekit.llm import exact_dedup, golomb, license_scan, mixing, near_dedup, packing, pii, quality, sharding
+from lapsekit.llm import arrays, exact_dedup, golomb, license_scan, mixing, near_dedup, packing, pii, quality, sharding
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, key string, hash int, kept string, shard string, digest string, length string, words string, unit string, v string, band string, copies int"
 CARD, IBAN = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00"
@@ -115,6 +115,31 @@ def test_pii_checksums_and_context(spark):
     assert [s.split(":")[0] for s in found.first()["spans"].split(",")] == ["iban", "ssn", "ssn"]
 
 
+def test_pii_secrets(spark):
+    key = "abe29cfcdae4f03e1e339fcaa4c5bb6c83baff71"
+    texts = [f'x token = "{key}" y', f"commit {key} of the tree", "token = aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1", "AKIA" + "IOSFODNN7EXAMPLE", "password: Tr0ub4dor-and-3xtra-l0ng/"]
+    rows = pii.pii_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [r["spans"].split(":")[0] for r in rows] == ["secret", "", "", "known_key", "secret"]
+    assert rows[0]["spans"] == f"secret:{texts[0].index(key)}:{texts[0].index(key) + 40}" and [r["n_spans"] for r in rows] == [1, 0, 0, 1, 1]
+
+
+def test_pii_of_a_long_text_of_matches(spark):
+    """Positions past several folds, context over many short matches, and time that grows with the text."""
+    unit = "ünd a.b@c.de or 1 2 +49 89 1234567, ip 10.0.0.1; 021000021 "
+    n = 3_000
+    row = pii.pii_digest(spark.createDataFrame([(1, unit * n)], "doc_id bigint, text string")).first()
+    expected = base_spans(unit * n)
+    assert row["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in expected).encode()).hexdigest()
+    assert (row["n_email"], row["n_ip"], row["n_phone"]) == (n, n, n)
+
+
+def test_sums_before(spark):
+    for n in (1, 63, 64, 65, 1000):
+        values = list(range(3, n + 3))
+        got = spark.range(1).select(F.expr(arrays.sums_before(f"transform(sequence(3, {n + 2}), x -> bigint(x))")).alias("s")).first()["s"]
+        assert got == [sum(values[:i]) for i in range(n)]
+
+
 def test_packing(real):
     rows = packing.pack_documents(real).collect()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
