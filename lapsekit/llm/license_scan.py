@@ -1,22 +1,23 @@
 """Licence notices by a positional index of their rare words.
 
-Column expressions only. A text is read once: it leaves its word count, the
-places of the base phrases and the positions of licence words. Document
-frequencies of those words over all texts rank them; a text's rarest licence
-words are looked up in the templates' postings, those that agree on where a
-template would start propose it, and the share of its words that stand in
-place and its key phrases decide.
+Column expressions only. Document frequencies over all texts rank the words of
+the templates; a template is indexed by its rarest words, as many as are sure
+to leave two in any text that covers it. Every place of such a word in a text
+is looked up; two of them that agree on where a template would start propose
+it there, and the share of its words that stand in place, and its mandatory
+phrases, decide. A text is read once to count and once to search, and each
+place is looked at a fixed number of times, so a text of very many notices
+takes time in proportion.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lapsekit.session import stage
+from lapsekit.llm.arrays import let
 
 #: What separates words: ASCII characters other than digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -69,6 +70,29 @@ TEMPLATES = (
         "this source code form is subject to the terms of the mozilla public license v 2 0",
         ("source code form", "mozilla public license"),
     ),
+    Template(
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with "
+        "the license you may obtain a copy of the license at",
+        ("apache license version 2 0", "in compliance with the license"),
+    ),
+    Template(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+        ("with or without fee", "hereby granted"),
+    ),
+    Template(
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held "
+        "liable for any damages arising from the use of this software",
+        ("authors be held liable",),
+    ),
+    Template("bsl-1.0", "distributed under the boost software license version 1 0", ("boost software license",)),
+    Template(
+        "cc0-1.0",
+        "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+        ("waived all copyright", "neighboring rights"),
+    ),
     Template(
         "unlicense",
         "this is free and unencumbered software released into the public domain",
@@ -81,8 +105,6 @@ COMMON = frozenset(
     "without you".split()
 )
 
-#: Licence words of a text that are looked up, the rarest first.
-LOOKED_UP = 8
 #: Words by which a notice may be shifted inside, and the share of its weight that must stand in place.
 DRIFT, COVERAGE = 8, 0.75
 
@@ -96,117 +118,89 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(lowered, BETWEEN), "")
 
 
-def _phrase_starts(padded: Column, phrase: str) -> Column:
-    """Word positions of a phrase in words that single spaces join and surround."""
-    pieces = F.split(padded, rf"(?<= ){re.escape(phrase)}(?= )", -1)
-    step = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+def _sql_words(words: list[str]) -> str:
+    return f"array({', '.join(repr(w) for w in words)})"
 
-    def add(state: Column, piece: Column) -> Column:
-        here = state["at"] + F.length(piece) - F.length(F.replace(piece, F.lit(" "), F.lit(""))) - 1
-        return F.struct((here + len(phrase.split())).alias("at"), F.concat(state["found"], F.array(here)).alias("found"))
 
-    # Nothing follows the last piece.
-    starts = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), step, add, lambda state: state["found"])
-    return F.when(padded.contains(f" {phrase} "), starts).otherwise(F.array().cast("array<int>"))
+def _phrase_starts(phrase: str) -> str:
+    """SQL of the positions at which the words of a phrase stand consecutively in ``words``."""
+    parts = phrase.split()
+    here = " AND ".join(f"get(words, i + {k}) = '{w}'" for k, w in enumerate(parts))
+    none = "CAST(array() AS array<int>)"
+    return f"if(array_contains(words, '{parts[-1]}'), filter(sequence(0, size(words)), i -> {here}), {none})"
 
 
-def _read(df: DataFrame, key: str, text: str, templates: tuple[Template, ...]) -> DataFrame:
-    """Per text: words, places of the base phrases, and (word, position) of licence words."""
+def rarity(df: DataFrame, text: str, templates: tuple[Template, ...]) -> dict[str, float]:
+    """Inverse document frequency of every template word over all texts; a row per word reaches the driver."""
     vocabulary = sorted({w for t in templates for w, _ in _indexed(t.text)})
-    words = df.select(F.col(key).alias("key"), _words(F.col(text)).alias("words"))
-    own = words.withColumn("own", F.array_intersect("words", F.array(*map(F.lit, vocabulary)))).withColumn(
-        "padded", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    )
-    placed = F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at")))
-    hits = F.when(F.size("own") > 0, F.filter(placed, lambda h: F.array_contains("own", h["word"])))
-    return own.select(
-        "key", F.size("words").cast("bigint").alias("n_words"), "own", hits.alias("hits"),
-        F.array(*(
-            F.struct(F.lit(label).alias("label"), _phrase_starts(F.col("padded"), phrase).alias("starts"))
-            for phrase, label in BASE.items()
-        )).alias("base"),
-    )
-
-
-def rarity(read: DataFrame) -> dict[str, float]:
-    """Inverse document frequency of every licence word over all texts; at most one row per word reaches the driver."""
-    total = read.count()
-    counts = read.select(F.explode("own").alias("word")).groupBy("word").count().collect()
-    return {row["word"]: round(math.log((total + 1) / row["count"]) + 1, 6) for row in counts}
-
-
-def _accepted(templates: tuple[Template, ...], idf: dict[str, float]) -> Column:
-    """Array of (label, coverage) of the templates found in ``hits``."""
-    known = [i for i, t in enumerate(templates) if any(w in idf for w, _ in _indexed(t.text))]
-    none = F.array().cast("array<struct<label:string,coverage:double>>")
-    if not known:
-        return none
-    weight = F.create_map(*(x for w in sorted(idf) for x in (F.lit(w), F.lit(idf[w]))))
-    postings: dict[str, list[Column]] = {}
-    for i in known:
-        for w, at in _indexed(templates[i].text):
-            postings.setdefault(w, []).append(F.struct(F.lit(i).alias("t"), F.lit(at).alias("at")))
-    index = F.create_map(*(x for w in sorted(postings) for x in (F.lit(w), F.array(*postings[w]))))
-    rarest = F.slice(F.array_sort(F.transform("own", lambda w: F.struct((-weight[w]).alias("rare"), w.alias("word")))), 1, LOOKED_UP)
-    seeds = F.filter("hits", lambda h: F.exists(rarest, lambda r: r["word"] == h["word"]))
-    votes = F.array_sort(F.flatten(F.transform(seeds, lambda h: F.transform(
-        index[h["word"]], lambda p: F.struct(p["t"].alias("t"), (h["at"] - p["at"]).alias("start"), h["word"].alias("word"))
-    ))))
-    # Runs of equal (template, start) in the sorted votes: two different words propose the template there.
-    first = F.struct(
-        F.lit(-1).alias("t"), F.lit(0).alias("start"), F.lit("").alias("word"), F.lit(False).alias("proposed"),
-        F.array().cast("array<struct<t:int,start:int>>").alias("found"),
-    )
+    own = F.array_intersect(_words(F.col(text)), F.array(*map(F.lit, vocabulary)))
+    # The empty word stands in every text, to count them.
+    counted = df.select(F.explode(F.concat(F.array(F.lit("")), own)).alias("word")).groupBy("word").count().collect()
+    counts = {row["word"]: row["count"] for row in counted}
+    total = counts.get("", 0)
+    return {w: round(math.log((total + 1) / max(counts.get(w, 0), 1)) + 1, 6) for w in vocabulary}
 
-    def step(run: Column, vote: Column) -> Column:
-        same = (run["t"] == vote["t"]) & (run["start"] == vote["start"])
-        new = same & (run["word"] != vote["word"]) & ~run["proposed"]
-        here = F.array(F.struct(vote["t"].alias("t"), vote["start"].alias("start")))
-        return F.struct(
-            vote["t"].alias("t"), vote["start"].alias("start"), vote["word"].alias("word"),
-            (new | (same & run["proposed"])).alias("proposed"),
-            F.when(new, F.concat(run["found"], here)).otherwise(run["found"]).alias("found"),
-        )
 
-    proposed = F.aggregate(votes, first, step, lambda run: run["found"])
+def anchors(template: Template, idf: dict[str, float]) -> list[tuple[str, int]]:
+    """The places of the template by which it is looked up.
 
-    def near(word: str, at: int, start: Column) -> Column:
-        return F.exists("hits", lambda h: (h["word"] == word) & (F.abs(h["at"] - at - start) <= DRIFT))
-
-    def judged(template: Template, start: Column) -> Column:
-        placed = _indexed(template.text)
-        total = sum(idf.get(w, 0.0) for w, _ in placed)
-        share = sum((F.when(near(w, at, start), idf[w]).otherwise(0.0) for w, at in placed if w in idf), F.lit(0.0)) / total
-        complete = F.lit(all(w in idf for w, _ in placed if any(w in p.split() for p in template.phrases)))
-        for phrase in template.phrases:
-            complete = complete & _phrase_near(phrase, _find(template.text, phrase), start)
-        return F.when(complete & (share >= COVERAGE), F.struct(
-            F.lit(template.label).alias("label"), F.round(F.least(share, F.lit(1.0)), 6).alias("coverage")
-        ))
-
-    def decide(candidate: Column) -> Column:
-        result = F.lit(None).cast("struct<label:string,coverage:double>")
-        for i in known:
-            result = F.when(candidate["t"] == i, judged(templates[i], candidate["start"])).otherwise(result)
-        return result
-
-    return F.when(F.size("own") > 1, F.filter(F.transform(proposed, decide), lambda d: d.isNotNull())).otherwise(none)
-
-
-def _phrase_near(phrase: str, at: int, start: Column) -> Column:
-    """Whether the indexed words of a phrase stand together where the template has them, within the drift."""
-    (first, offset), *rest = _indexed(phrase)
-
-    def follows(hit: Column, word: str, gap: int) -> Column:
-        return F.exists("hits", lambda h: (h["word"] == word) & (h["at"] == hit["at"] + gap))
-
-    def stands(hit: Column) -> Column:
-        found = (hit["word"] == first) & (F.abs(hit["at"] - (at + offset) - start) <= DRIFT)
-        for word, o in rest:
-            found = found & follows(hit, word, o - offset)
-        return found
-
-    return F.exists("hits", stands)
+    They are those of its rarest words, so many that without the weightiest of
+    them they still weigh more than a text may lack: whoever covers the
+    template has two different ones of them in place.
+    """
+    weight: dict[str, float] = {}
+    for w, _ in _indexed(template.text):
+        weight[w] = weight.get(w, 0.0) + idf[w]
+    lacking, chosen = (1 - COVERAGE) * sum(weight.values()), []
+    for w in sorted(weight, key=lambda w: (-idf[w], w)):
+        chosen.append(w)
+        if sum(weight[c] for c in chosen) - max(weight[c] for c in chosen) > lacking:
+            break
+    return [(w, at) for w, at in _indexed(template.text) if w in chosen]
+
+
+def _window(start: str, at: int, more: int = 0) -> str:
+    """SQL of the words around a place of a template that starts at ``start``, as far as it may be shifted."""
+    low = f"greatest({start} + {at - DRIFT}, 0)"
+    return f"slice(words, {low} + 1, greatest({start} + {at + DRIFT + 1 + more} - {low}, 0))"
+
+
+def _judged(template: Template, start: str, idf: dict[str, float]) -> str:
+    """SQL of (label, coverage) of a template proposed at ``start``; null if it isn't there."""
+    placed = _indexed(template.text)
+    total = sum(idf[w] for w, _ in placed)
+    share = " + ".join(f"if(array_contains({_window(start, at)}, '{w}'), {idf[w]}D, 0D)" for w, at in placed)
+    phrases = " AND ".join(
+        f"contains(concat(' ', array_join({_window(start, _find(template.text, p), len(p.split()) - 1)}, ' '), ' '), ' {p} ')"
+        for p in template.phrases
+    )
+    covered = let(f"({share}) / {total}D", "covered", (
+        f"if(covered >= {COVERAGE}D, named_struct('label', '{template.label}', 'coverage', round(least(covered, 1D), 6)), NULL)"
+    ))
+    return f"if({phrases}, {covered}, NULL)"
+
+
+def _found(templates: tuple[Template, ...], idf: dict[str, float]) -> str:
+    """SQL of the distinct (label, coverage) of the templates found in ``words``."""
+    postings: dict[str, list[str]] = {}
+    for i, template in enumerate(templates):
+        for w, at in anchors(template, idf):
+            postings.setdefault(w, []).append(f"named_struct('t', {i}, 'at', {at})")
+    index = "map(" + ", ".join(f"'{w}', array({', '.join(own)})" for w, own in sorted(postings.items())) + ")"
+    hits = "filter(transform(words, (w, i) -> named_struct('word', w, 'at', i)), h -> array_contains(own, h.word))"
+    votes = (
+        f"array_sort(flatten(transform({hits}, h -> transform(element_at({index}, h.word),"
+        " p -> named_struct('t', p.t, 'start', h.at - p.at, 'word', h.word)))))"
+    )
+    # In the order of template and start, two different words that agree stand side by side somewhere.
+    follows = f"get(votes, i + 1).t = v.t AND get(votes, i + 1).start - v.start <= {DRIFT} AND get(votes, i + 1).word <> v.word"
+    proposed = f"filter(votes, (v, i) -> {follows})"
+    cases = " ".join(f"WHEN {i} THEN {_judged(t, 'c.start', idf)}" for i, t in enumerate(templates))
+    decided = f"array_distinct(filter(transform({proposed}, c -> CASE c.t {cases} END), d -> d IS NOT NULL))"
+    none = "CAST(array() AS array<struct<label:string,coverage:double>>)"
+    own = f"array_intersect(words, {_sql_words(sorted(postings))})"
+    found = f"if(size(own) > 1, {let(votes, 'votes', decided)}, {none})"
+    return let(own, "own", f"CAST({found} AS array<struct<label:string,coverage:double>>)")
 
 
 def _find(text: str, phrase: str) -> int:
@@ -223,16 +217,20 @@ def scan_licenses(
     words and no licence. Repeated rows stay repeated and count each; an empty
     table gives no row. Other columns are left out.
     """
-    read = stage(_read(df, key, text, templates), "license-words")
-    idf = rarity(read)
-    return read.select(F.col("key").alias(key), "n_words", "base", _accepted(templates, idf).alias("found"))
+    idf = rarity(df, text, templates)
+    words = df.select(F.col(key).alias("key"), _words(F.col(text)).alias("words"))
+    base = ", ".join(f"named_struct('label', '{label}', 'starts', {_phrase_starts(phrase)})" for phrase, label in BASE.items())
+    return words.select(
+        F.col("key").alias(key), F.size("words").cast("bigint").alias("n_words"), F.expr(f"array({base})").alias("base"),
+        F.expr(_found(templates, idf)).alias("found"),
+    )
 
 
 def license_digest(df: DataFrame) -> DataFrame:
     """Places and labels of the base phrases, all labels, and a score.
 
     ``score``: the best coverage of a template, one half for a base phrase
-    without one, else 0.
+    without one, else 0. Rows are as those of ``scan_licenses``.
     """
     scanned = scan_licenses(df.select("doc_id", "text"))
     starts = F.flatten(F.transform("base", lambda b: b["starts"]))

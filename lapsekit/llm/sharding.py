@@ -1,9 +1,9 @@
 """Vector bin packing of documents into shards: bytes, tokens and rows are balanced together.
 
-Equal texts are a group. Groups are gathered in cells by hash, of a number that
-depends on the shards alone; a group that is heavy in any measure is cut into
-parts of bounded weight. The driver places these bounded many units, never
-the groups themselves.
+Equal texts are a group and share a shard, unless they are more than a whole
+shard in some measure. Small groups are gathered in cells by hash, of a number
+that depends on the shards alone; large ones are placed one by one. The driver
+places these bounded many units, never the rows themselves.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from lapsekit.llm.mixing import word_count
 from lapsekit.session import stage
 
 SHARDS = 24
-#: Cells of a shard, and the share of a shard from which a group is cut.
+#: Cells of a shard; and the share of a shard from which a group is a unit of its own, numbered in parts of that size.
 CELLS, HEAVY = 256, 1 / 32
 SIZE_EXTRA = 8
 MEASURES = ("bytes", "tokens", "rows")
@@ -48,9 +48,10 @@ def shard_documents(
     """One row per row of ``df``: key, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is ``bytes``. Equal texts share a shard unless they are more than
-    ``heavy`` of a shard in a measure. Slots number a shard's rows from 0.
-    Null texts weigh 8 and are as empty ones; repeated rows and null keys get a
-    slot each; an empty table gives no row. Other columns are left out.
+    a shard's share of all bytes, tokens or rows, when they are cut into parts
+    of ``heavy`` of a shard. Slots number a shard's rows from 0. Null texts
+    weigh 8 and are as empty ones; repeated rows and null keys get a slot each;
+    an empty table gives no row. Other columns are left out.
     """
     spark = df.sparkSession
     own = F.coalesce(F.col(text), F.lit(""))
@@ -65,16 +66,22 @@ def shard_documents(
     totals = rows.agg(*sums).first()
     share = F.greatest(*(F.col(m) / F.lit(float(max(totals[m] or 0, 1)) * heavy / shards) for m in MEASURES))
     # In each measure at most shards / heavy groups can be that heavy.
-    large = rows.groupBy("group").agg(*sums).select("group", F.ceil(share).cast("bigint").alias("_parts")).filter("_parts > 1")
-    large = stage(large, "heavy-groups")
+    large = rows.groupBy("group").agg(*sums).select("group", share.alias("_share")).filter("_share > 1")
+    # _parts: in which its rows are numbered side by side; _cut: its parts may go to different shards.
+    large = stage(large.select("group", F.ceil("_share").cast("bigint").alias("_parts"), (F.col("_share") * heavy > 1).alias("_cut")), "heavy-groups")
     unit = F.when(F.col("_parts").isNull(), F.pmod("group", F.lit(cells * shards))).otherwise(F.col("group"))
     part = F.when(F.col("_parts").isNull(), -1).otherwise(F.pmod(F.xxhash64("key"), F.col("_parts")))
     units = rows.join(F.broadcast(large), "group", "left").withColumn("_unit", unit).withColumn("_part", part)
-    weights = units.groupBy("_unit", "_part").agg(*sums).orderBy("_unit", "_part").collect()
-    shard = place_units(np.array([[w[m] for m in MEASURES] for w in weights], dtype=float).reshape(len(weights), len(MEASURES)), shards)
+    weights = units.groupBy("_unit", "_part", "_cut").agg(*sums).orderBy("_unit", "_part").collect()
+    together: dict[tuple, np.ndarray] = {}
+    for w in weights:
+        name = (w["_unit"], w["_part"] < 0, w["_part"] if w["_cut"] else None)
+        together[name] = together.get(name, 0) + np.array([w[m] for m in MEASURES], float)
+    shard = dict(zip(together, map(int, place_units(np.array(list(together.values())).reshape(len(together), len(MEASURES)), shards))))
     next_slot = [0] * shards
     plan = []
-    for w, s in zip(weights, map(int, shard)):
+    for w in weights:
+        s = shard[w["_unit"], w["_part"] < 0, w["_part"] if w["_cut"] else None]
         plan.append((w["_unit"], w["_part"], s, next_slot[s]))
         next_slot[s] += w["rows"]
     placed = units.join(F.broadcast(spark.createDataFrame(plan, "_unit bigint, _part bigint, shard int, _first bigint")), ["_unit", "_part"])
