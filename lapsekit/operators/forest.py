@@ -31,7 +31,7 @@ LEAST_PARTITIONS, ROWS_PER_PARTITION = 16, 250_000
 
 @dataclass(frozen=True)
 class ForestSettings:
-    """The driver holds the trees, about trees * 2 ** max_depth nodes at most."""
+    """The driver holds the trees, about trees * 2 ** max_depth nodes at most; see ``operators.ensemble`` for more."""
 
     trees: int = 500
     max_depth: int = 10
@@ -56,21 +56,26 @@ def _indexed(name: str) -> str:
     return f"{name}_index" if name in LUMP_LIMITS else name
 
 
-def train_forest(
-    train: DataFrame,
-    features: Sequence[str] = FEATURES,
-    *,
-    label: str = LABEL,
-    settings: ForestSettings = ForestSettings(),
-    key: str = JOURNEY,
-) -> Forest:
-    """Fit the forest; the label is 0/1, so class index and label value agree.
+@dataclass(frozen=True)
+class Training:
+    """Training rows as label and feature vector, dealt to tasks, and the stages that make them."""
+
+    stages: tuple
+    rows: DataFrame
+    features: tuple[str, ...]
+    label: str
+    most_levels: int
+
+
+def prepare_training(
+    train: DataFrame, features: Sequence[str] = FEATURES, label: str = LABEL, key: str = JOURNEY
+) -> Training:
+    """What any number of fits start from; the label is 0/1, so class index and label value agree.
 
     Bootstrap draws follow the partitions and the order within them, so both
     are set here from the rows alone: their number decides the number of
-    partitions, their key the partition and the order. The same rows and seed
-    give the same forest on any session. Levels unseen in training get an
-    index of their own.
+    partitions, their key the partition and the order. Levels unseen in
+    training get an index of their own.
     """
     count = train.agg(F.min(label).alias("lo"), F.max(label).alias("hi"), F.count(F.lit(1)).alias("n")).first()
     if (count["lo"], count["hi"]) != (0, 1):
@@ -91,23 +96,36 @@ def train_forest(
         ).fit(stored)
         stages.append(indexer)
         most_levels = max(len(levels) for levels in indexer.labelsArray) + 1
-    assembler = VectorAssembler(inputCols=[_indexed(name) for name in features], outputCol="features")
-    stages.append(assembler)
-    rows = PipelineModel(stages).transform(placed).select(
-        F.col(label).cast("double").alias("label"), "features"
-    )
+    stages.append(VectorAssembler(inputCols=[_indexed(name) for name in features], outputCol="features"))
+    rows = PipelineModel(stages).transform(placed).select(F.col(label).cast("double").alias("label"), "features")
+    return Training(tuple(stages), rows, tuple(features), label, most_levels)
+
+
+def fit_trees(training: Training, settings: ForestSettings = ForestSettings()) -> Forest:
     trees = RandomForestClassifier(
         numTrees=settings.trees,
         maxDepth=settings.max_depth,
         minInstancesPerNode=settings.min_node_size,
-        featureSubsetStrategy=str(max(1, math.floor(math.sqrt(len(features))))),
-        maxBins=max(32, most_levels),
+        featureSubsetStrategy=str(max(1, math.floor(math.sqrt(len(training.features))))),
+        maxBins=max(32, training.most_levels),
         cacheNodeIds=True,
         checkpointInterval=10,
         maxMemoryInMB=512,
         seed=settings.seed,
-    ).fit(rows)
-    return Forest(PipelineModel([*stages, trees]), tuple(features), label)
+    ).fit(training.rows)
+    return Forest(PipelineModel([*training.stages, trees]), training.features, training.label)
+
+
+def train_forest(
+    train: DataFrame,
+    features: Sequence[str] = FEATURES,
+    *,
+    label: str = LABEL,
+    settings: ForestSettings = ForestSettings(),
+    key: str = JOURNEY,
+) -> Forest:
+    """Fit the forest. The same rows and seed give the same forest on any session."""
+    return fit_trees(prepare_training(train, features, label, key), settings)
 
 
 def score(forest: Forest, rows: DataFrame) -> DataFrame:

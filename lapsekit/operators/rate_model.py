@@ -16,7 +16,7 @@ from lapsekit.operators.lumping import Lumping, kept_table, lumping_of
 from lapsekit.operators.scoring import join_small, level_rates
 from lapsekit.settings import JOURNEY, LABEL, PATIENT
 
-#: part: ``base`` (value), ``kept`` (variable, level), ``rate`` (variable, level, value), ``cut`` (level, value).
+#: part: ``base`` (value), ``kept`` (variable, level, its journeys if known), ``rate`` (variable, level, value), ``cut`` (level, value).
 SCHEMA = "part string, variable string, level string, value double"
 LOW, HIGH = "low", "high"
 
@@ -35,7 +35,7 @@ def rate_model(
     model = spark.createDataFrame(known, SCHEMA)
     kept = kept_table(lumping, spark).filter(F.col("variable").isin(list(keys)))
     model = model.unionByName(
-        kept.select(F.lit("kept").alias("part"), "variable", "level", F.lit(None).cast("double").alias("value"))
+        kept.select(F.lit("kept").alias("part"), "variable", "level", F.col("journeys").cast("double").alias("value"))
     )
     for key in keys:
         model = model.unionByName(
@@ -55,7 +55,7 @@ def score_by_model(model: DataFrame, journeys: DataFrame, keys: Sequence[str]) -
     """
     known = {(row["part"], row["level"]): row["value"] for row in model.filter("part IN ('base', 'cut')").collect()}
     base = known["base", None]
-    lumping = lumping_of(model.filter("part = 'kept'"), keys)
+    lumping = lumping_of(model.filter("part = 'kept'").withColumnRenamed("value", "journeys"), keys)
     rows = lumping.apply(journeys.select(JOURNEY, PATIENT, *keys))
     for key in keys:
         rate = model.filter((F.col("part") == "rate") & (F.col("variable") == key))

@@ -7,7 +7,7 @@ of counted ranges.
 
 from __future__ import annotations
 
-from lapsekit.plans.queries import DIGITS, MODEL_LABEL, PLANTED, SAMPLE_ROWS, SCORE_KEYS
+from lapsekit.plans.queries import DIGITS, MODEL_LABEL, PLANTED, SAMPLE_ROWS, SCORE_KEYS, SKETCHED_FROM, SKETCHED_TO
 from lapsekit.settings import BINARY_FEATURES, FEATURES, LUMP_LIMITS, RISK_DOMAINS
 
 _DOMAIN_COUNTS = ",\n".join(
@@ -398,6 +398,15 @@ SELECT m AS median_gap, round(a, {DIGITS}) AS mean_gap,
         "sql_by_type": _rounded(f"""{ELIGIBLE}
 SELECT FirstEncounterType, COUNT(*) AS journeys, AVG(LongGap180) AS long_gap_180_rate
 FROM eligible GROUP BY FirstEncounterType HAVING COUNT(*) >= 50""", "long_gap_180_rate"),
+        "gap_by_type_sketched": _rounded(f"""{ELIGIBLE}
+SELECT FirstEncounterType, COUNT(*) AS journeys, AVG(LongGap180) AS long_gap_180_rate, TRUE AS patients_close, TRUE AS median_close
+FROM eligible GROUP BY FirstEncounterType HAVING COUNT(*) >= 50""", "long_gap_180_rate"),
+        "gap_by_type_of_days": _rounded(f"""{ELIGIBLE}
+SELECT FirstEncounterType, COUNT(*) AS journeys, AVG(LongGap180) AS long_gap_180_rate FROM eligible
+WHERE FirstDate BETWEEN DATE '{SKETCHED_FROM}' AND DATE '{SKETCHED_TO}' GROUP BY FirstEncounterType""", "long_gap_180_rate"),
+        "observed_replaced": f"""{ELIGIBLE}
+SELECT 'before' AS version, COUNT(*) AS journeys, MIN(ObservationDays) AS least_days FROM observed
+UNION ALL SELECT 'after', COUNT(*), MIN(ObservationDays) FROM eligible""",
         "scalar_labels": _scalar_labels(),
         "lump_categories": f"""{_levels()}
 SELECT variable, level, journeys, level_rank, kept,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import threading
 from collections.abc import Callable
+from datetime import date
 from functools import reduce
 from operator import and_
 
@@ -32,6 +33,7 @@ from lapsekit.operators.reports import (
 )
 from lapsekit.operators.sampling import mark_split, sample_cap, split_cutoff
 from lapsekit.operators.scoring import rate_scores
+from lapsekit.operators.sketches import PATIENT_ERROR, RANK_ERROR, daily_sketches, sketched_report
 from lapsekit.plans.bundle import Bundle, load_bundle, save_bundle, score_journeys
 from lapsekit.plans.store import input_state, stored, stored_journeys
 from lapsekit.session import new_path
@@ -39,6 +41,7 @@ from lapsekit.settings import (
     GROUPED_HISTOGRAM_BINS,
     HISTOGRAM_BINS,
     JOURNEY,
+    LABEL,
     LUMP_LIMITS,
     PATIENT,
     PORTAL_GROUPS_LONG,
@@ -51,7 +54,7 @@ from lapsekit.settings import (
 )
 from lapsekit.sources.csv_reports import read_report, write_report
 from lapsekit.sources.star_schema import journey_inputs
-from lapsekit.sources.tables import sql_report
+from lapsekit.sources.tables import read_table, replace_table, sql_report
 
 # Gaps over 180 days are nearly universal in these tables, so models learn the
 # 365-day flag.
@@ -238,6 +241,52 @@ def sql_by_type(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+SKETCHED_FROM, SKETCHED_TO = date(1995, 2, 1), date(1995, 4, 30)
+
+
+def stored_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """A row per day and first encounter type, folded once from the eligible journeys."""
+    return stored(
+        spark, folder, "daily_sketches", lambda: daily_sketches(eligible_journeys(spark, folder), "FirstEncounterType")
+    )
+
+
+def sketched_by_type(spark: SparkSession, folder: str) -> DataFrame:
+    """The sketched report, and whether its estimates are within their stated errors of the exact values."""
+    journeys = eligible_journeys(spark, folder)
+    report = sketched_report(stored_sketches(spark, folder), "FirstEncounterType")
+    key, gap, middle = F.col("FirstEncounterType"), F.col("MaxGapDays"), F.col("median_max_gap_days")
+    exact = journeys.groupBy(key.alias("_key")).agg(F.count_distinct(PATIENT).alias("_patients"))
+    # A row per type.
+    ranks = journeys.join(F.broadcast(report.select(key.alias("_key"), "median_max_gap_days")), key.eqNullSafe(F.col("_key")))
+    ranks = ranks.filter(gap.isNotNull()).groupBy("_key").agg(
+        F.avg((gap < middle).cast("int")).alias("_below"), F.avg((gap <= middle).cast("int")).alias("_upto")
+    )
+    checked = exact.join(ranks, exact["_key"].eqNullSafe(ranks["_key"])).drop(ranks["_key"])
+    return report.join(checked, key.eqNullSafe(F.col("_key"))).select(
+        key, "journeys", rate_name(LABEL),
+        (F.abs(F.col("patients") / F.col("_patients") - 1) <= PATIENT_ERROR).alias("patients_close"),
+        ((F.col("_below") <= 0.5 + RANK_ERROR) & (F.col("_upto") >= 0.5 - RANK_ERROR)).alias("median_close"),
+    )
+
+
+def sketched_span(spark: SparkSession, folder: str) -> DataFrame:
+    """Journeys and rates of three months, merged from their days."""
+    report = sketched_report(
+        stored_sketches(spark, folder), "FirstEncounterType", first=SKETCHED_FROM, last=SKETCHED_TO, min_support=1
+    )
+    return report.select("FirstEncounterType", "journeys", rate_name(LABEL))
+
+
+def replaced_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The observed table is replaced by the eligible rows while it is read: what the reader and the next one see."""
+    path = new_path(spark, "replaced")
+    before = replace_table(stored_journeys(spark, folder).select(JOURNEY, "ObservationDays"), path)
+    replace_table(eligible(read_table(spark, path)), path)
+    seen = before.withColumn("version", F.lit("before")).unionByName(read_table(spark, path).withColumn("version", F.lit("after")))
+    return seen.groupBy("version").agg(F.count(F.lit(1)).alias("journeys"), F.min("ObservationDays").alias("least_days"))
+
+
 def importance_of_rates(spark: SparkSession, folder: str) -> DataFrame:
     # Rounded before ranking, so that ties are ties in any order of summation.
     return rounded(ranking.rate_spread_importance(model_rows(spark, folder), MODEL_LABEL))
@@ -309,6 +358,9 @@ REGISTRY: dict[str, Query] = {
         gap_groups(eligible_journeys(spark, folder)), "MaxGapDays", GROUPED_HISTOGRAM_BINS, by=["GapGroup"]
     ),
     "sql_by_type": sql_by_type,
+    "gap_by_type_sketched": sketched_by_type,
+    "gap_by_type_of_days": sketched_span,
+    "observed_replaced": replaced_table,
     "scalar_labels": scalar_labels,
     "lump_categories": lambda spark, folder: lumped_levels(
         model_columns(eligible_journeys(spark, folder), MODEL_LABEL)

@@ -1,4 +1,4 @@
-"""Report tables as CSV: header, ``NA`` for missing, ``TRUE``, numbers without exponents."""
+"""Tables as CSV: header, ``NA`` for missing, ``TRUE``, numbers without exponents."""
 
 from __future__ import annotations
 
@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from lapsekit.functions.labels import plain_number
+from lapsekit.session import stage
 
 MISSING = "NA"
+# Rows of a file. A report with no more is a single file.
+ROWS_PER_FILE = 500_000
 
 
 def _as_text(field: StructField) -> Column:
-    value = F.col(field.name)
+    value = F.col(f"`{field.name}`")
     if isinstance(field.dataType, DoubleType):
         value = plain_number(value)
     elif isinstance(field.dataType, BooleanType):
@@ -19,25 +22,32 @@ def _as_text(field: StructField) -> Column:
     return value.alias(field.name)
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    """Replace the CSV at ``path``. For reports: they are written as one file.
+def _writer(df: DataFrame):
+    """All tables are written in this one text form."""
+    texts = df.select(*map(_as_text, df.schema.fields))
+    return texts.write.mode("overwrite").option("header", True).option("nullValue", MISSING).option("emptyValue", '""')
 
-    As in other CSV with such a marker, the text ``NA`` reads back as missing.
+
+def write_report(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> int:
+    """Replace the CSV at ``path`` by the rows of ``df`` in their order; how many there are.
+
+    The rows are counted before they are gathered: up to ``rows_per_file`` make
+    one file, more are dealt to files by their place, so that the files one
+    after the other, by name, hold the rows in order and no task more than its
+    share. As in other CSV with such a marker, the text ``NA`` reads back as missing.
     """
-    (
-        df.select(*map(_as_text, df.schema.fields))
-        .coalesce(1)
-        .write.mode("overwrite")
-        .option("header", True)
-        .option("nullValue", MISSING)
-        .option("emptyValue", '""')
-        .csv(path)
-    )
+    # The ids ascend along the frame's own order; the stored table may be read in any.
+    placed = stage(df.withColumn("_place", F.monotonically_increasing_id()), "report")
+    rows = placed.count()
+    files = max(1, -(-rows // rows_per_file))
+    dealt = placed.coalesce(1) if files == 1 else placed.repartitionByRange(files, "_place")
+    _writer(dealt.sortWithinPartitions("_place").drop("_place")).csv(path)
+    return rows
 
 
 def write_rows(df: DataFrame, path: str, *partition_by: str) -> None:
-    """Replace the CSV at ``path`` by rows of any number, one file per task and partition value."""
-    writer = df.write.mode("overwrite").option("header", True).option("nullValue", MISSING)
+    """Replace the CSV at ``path`` by rows of any number in no order, one file per task and partition value."""
+    writer = _writer(df)
     (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 
 

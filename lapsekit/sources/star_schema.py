@@ -11,6 +11,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lapsekit.operators.heavy_join import join_unique
 from lapsekit.settings import RISK_DOMAINS
 
 TABLES = ("region", "nation", "customer", "part", "orders", "lineitem", "events")
@@ -58,7 +59,7 @@ def encounters(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderpriority").alias("EncounterType"),
         F.col("o_orderstatus").alias("SmokingStatus"),
     )
-    return lines.join(orders, F.col("l_orderkey") == F.col("EncounterKey")).drop("l_orderkey")
+    return join_unique(lines, orders, "l_orderkey", "EncounterKey").drop("l_orderkey")
 
 
 def departments(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import pytest
 from frames import model_rows
+from pyspark.sql import functions as F
 
 from lapsekit.operators import lumping
 from lapsekit.operators.frame import complete_rows, constant_columns, model_frame, varying_features
@@ -55,6 +56,39 @@ def test_a_level_that_holds_most_rows(spark):
         assert {r["c"]: r["count"] for r in got} == {"hot": 6_000, "Other": 3_000}
 
 
+def test_only_the_column_with_many_levels_is_joined(spark):
+    """One free-text column of ten, every value of it tied, and a level that holds a third of its rows."""
+    columns = [f"c{i}" for i in range(10)]
+    df = spark.range(6_000).selectExpr(
+        "IF(id % 3 = 0, 'hot', CAST(id AS STRING)) AS c0", *(f"CAST(id % {i + 2} AS STRING) AS {c}" for i, c in enumerate(columns[1:], 1))
+    )
+    fitted = lumping.fit_lumping(df, {c: 5 for c in columns}, max_literals=50)
+    assert fitted.joined == ("c0",)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lumped = fitted.apply(df)
+        plan = lumped._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 1
+        # No task of the join holds the hot level's rows.
+        placed = lumped.groupBy(F.spark_partition_id()).count().collect()
+        counts = sorted(r["count"] for r in placed)
+        assert counts[-1] <= 2 * counts[len(counts) // 2]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    expected = lumping.fit_lumping(df, {c: 5 for c in columns}, max_literals=100_000)
+    assert expected.joined == ()
+    assert sorted(map(tuple, lumped.collect())) == sorted(map(tuple, expected.apply(df).collect()))
+
+
+def test_stored_levels_lump_alike(spark, tmp_path):
+    df = spark.range(3_000).selectExpr("IF(id % 3 = 0, 'hot', CAST(id AS STRING)) AS c", "CAST(id % 4 AS STRING) AS d")
+    fitted = lumping.fit_lumping(df, {"c": 5, "d": 2}, max_literals=20)
+    lumping.kept_table(fitted, spark).write.parquet(str(tmp_path / "kept"))
+    stored = lumping.lumping_of(spark.read.parquet(str(tmp_path / "kept")), ("c", "d"), max_literals=20)
+    assert stored.joined == fitted.joined == ("c",)
+    assert sorted(map(tuple, stored.apply(df).collect())) == sorted(map(tuple, fitted.apply(df).collect()))
+
+
 def test_level_counts_include_rows_dropped_later(spark):
     # Level "b" is frequent only among rows whose status is missing.
     frame = model_rows(
