@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,3 +32,22 @@ def parts(batch: pa.RecordBatch, column: int, size: int = PART) -> Iterator[pa.R
         end = max(start + 1, int(np.searchsorted(bounds, bounds[start] + size, side="right")) - 1)
         yield batch.slice(start, end - start)
         start = end
+
+
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` on batches that gives its memory back to the system at the end of a task.
+
+    Worker processes go on to other tasks and stages, and what a library's
+    allocator keeps for itself would add up beside the executor's heap.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run

@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lapsekit.llm import golomb
+from lapsekit.llm.buffers import tidy
 from lapsekit.session import stage
 
 #: Texts in a message's block: what a task holds in memory at once, 40 bytes each.
@@ -121,7 +122,7 @@ def fingerprint_rows(df: DataFrame, key: str, text: str) -> tuple[DataFrame, Dat
     bits = min(63, max(total, 1).bit_length() + SPARE_BITS)
     owners = max(LEAST_OWNERS, -(-total // PER_OWNER))
     schema = _ROWS.replace("key string", f"key {slim.schema['key'].dataType.simpleString()}")
-    sent = stage(slim.mapInArrow(_send(bits, owners), schema), "fingerprints")
+    sent = stage(slim.mapInArrow(tidy(_send(bits, owners)), schema), "fingerprints")
     messages = sent.filter("payload IS NOT NULL").select("sender", "block", "owner", "size", "remainder", "payload")
     answers = messages.groupBy("owner").applyInArrow(_answer, "sender bigint, block int, owner int, marks binary")
     rows = sent.filter("digest IS NOT NULL")

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lapsekit.llm.buffers import parts, text_bytes
+from lapsekit.llm.buffers import parts, text_bytes, tidy
 
 SEED = 42
 #: Per cent of the texts that are rearranged, and per cent of those with the suffix first.
@@ -144,7 +144,7 @@ def fill_in_middle(
     slim = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = slim.schema["key"].dataType.simpleString()
     fields = f"key {kind}, n bigint, form string, prefix_chars bigint, middle_chars bigint, output string"
-    return slim.mapInArrow(_rearranged(seed, rate, suffix_first), fields).withColumnRenamed("key", key)
+    return slim.mapInArrow(tidy(_rearranged(seed, rate, suffix_first)), fields).withColumnRenamed("key", key)
 
 
 def restored(output: Column, form: Column) -> Column:

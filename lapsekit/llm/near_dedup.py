@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from lapsekit.llm.buffers import tidy
 from lapsekit.llm.components import components
 from lapsekit.llm.words import WordHashes, mixed, windows
 from lapsekit.session import stage
@@ -202,17 +203,17 @@ class _Comparison:
         named = f"a {self.key_type}, b {self.key_type}"
         of = lambda table, column, v, name: table.select(F.col("v").alias(v), F.col(column).alias(name))
         both = pairs.join(of(self.sketches, "sketch", "a", "sa"), "a").join(of(self.sketches, "sketch", "b", "sb"), "b")
-        likely = stage(both.select("a", "b", "sa", "sb").mapInArrow(_agreement, named), "likely-pairs")
+        likely = stage(both.select("a", "b", "sa", "sb").mapInArrow(tidy(_agreement), named), "likely-pairs")
         sets = self.multisets(likely.select(F.col("a").alias("key")).unionByName(likely.select(F.col("b").alias("key"))).distinct())
         both = likely.join(of(sets, "windows", "b", "wb"), "b").join(of(sets, "windows", "a", "wa"), "a")
-        return stage(both.select("a", "b", "wa", "wb").mapInArrow(_similarity, f"{named}, similarity double"), "links")
+        return stage(both.select("a", "b", "wa", "wb").mapInArrow(tidy(_similarity), f"{named}, similarity double"), "links")
 
     def multisets(self, keys: DataFrame) -> DataFrame:
         """(v, windows) of the texts of these keys."""
         keys = stage(keys, "compared")
         wanted = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
         rows = self.texts.join(wanted, "key", "left_semi").select("key", "text")
-        return stage(rows.mapInArrow(_multisets, f"v {self.key_type}, windows array<bigint>"), "multisets").dropDuplicates(["v"])
+        return stage(rows.mapInArrow(tidy(_multisets), f"v {self.key_type}, windows array<bigint>"), "multisets").dropDuplicates(["v"])
 
 
 def _ordered(left: str, right: str) -> list:
@@ -287,7 +288,7 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
     gives no row; other columns are left out.
     """
     slim = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    sketched = stage(slim.mapInArrow(_sketch, _SKETCH.format(slim.schema["key"].dataType.simpleString())), "sketches")
+    sketched = stage(slim.mapInArrow(tidy(_sketch), _SKETCH.format(slim.schema["key"].dataType.simpleString())), "sketches")
     first = sketched.groupBy("h1", "h2").agg(F.min("key").alias("v"))
     rows = stage(sketched.join(first, ["h1", "h2"]).select("key", "v", "bands", "sketch"), "sketched-rows")
     own = rows.filter("key = v")

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lapsekit.llm.buffers import parts
+from lapsekit.llm.buffers import parts, tidy
 from lapsekit.session import stage
 
 CAPACITY = 2048
@@ -139,7 +139,7 @@ def tokenized_pieces(
                 yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(of, pa.int32())), *columns], names=names)
 
     slim = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return slim.mapInArrow(pieces, fields + ", ids binary" * with_ids)
+    return slim.mapInArrow(tidy(pieces), fields + ", ids binary" * with_ids)
 
 
 @dataclass(frozen=True)

@@ -12,9 +12,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lapsekit.llm.buffers import tidy
 from lapsekit.session import stage
 
 WHITE, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
@@ -66,16 +67,20 @@ def text_features(text: str | None) -> tuple[int, ...]:
     )
 
 
-def _measured(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _measured(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     names = [part.split()[0] for part in FEATURES.split(", ")]
     for batch in texts:
-        yield pd.DataFrame([text_features(t) for t in batch], columns=names, dtype="int64")
+        rows = np.array([text_features(text.as_py()) for text in batch], np.int64).reshape(len(batch), len(names))
+        yield pa.StructArray.from_arrays([pa.array(column) for column in rows.T.copy()], names=names)
 
 
 def features(text: Column) -> Column:
     """Struct of the measures of a text."""
     # Called non-deterministic so that a filter on it doesn't make Spark measure each text twice.
-    return F.pandas_udf(_measured, FEATURES).asNondeterministic()(text)
+    def measured(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(_measured)(texts)
+
+    return F.arrow_udf(measured, FEATURES).asNondeterministic()(text)
 
 
 def _measures(prefix: str) -> dict[str, Column]:

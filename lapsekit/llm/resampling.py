@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lapsekit.llm.buffers import parts
+from lapsekit.llm.buffers import parts, tidy
 from lapsekit.session import stage
 
 BUCKETS, LONGEST, SEED = 10_000, 1, 2024
@@ -73,7 +73,7 @@ def _histogram(longest: int, buckets: int):
 
 def bucket_counts(df: DataFrame, text: str = "text", longest: int = LONGEST, buckets: int = BUCKETS) -> np.ndarray:
     """Features of all texts by bucket: at most a row per task and bucket is shuffled, one per bucket collected."""
-    counted = df.select(F.col(text).alias("text")).mapInArrow(_histogram(longest, buckets), "bucket bigint, n bigint")
+    counted = df.select(F.col(text).alias("text")).mapInArrow(tidy(_histogram(longest, buckets)), "bucket bigint, n bigint")
     out = np.zeros(buckets, np.int64)
     for row in counted.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[row["bucket"]] = row["n"]
@@ -149,7 +149,7 @@ def resample(
     gains = bucket_gains(bucket_counts(df, text, longest, buckets), bucket_counts(target, target_text, longest, buckets))
     slim = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = slim.schema["key"].dataType.simpleString()
-    weighed = slim.mapInArrow(_weights(gains, longest), f"key {kind}, n_words bigint, n_features bigint, weight bigint")
+    weighed = slim.mapInArrow(tidy(_weights(gains, longest)), f"key {kind}, n_words bigint, n_features bigint, weight bigint")
     scored = stage(weighed.withColumn("score", F.col("weight") + gumbel(F.col("key"), seed)), "resampling")
     enough = F.col("n_words") >= min_words
     eligible = scored.filter(enough)

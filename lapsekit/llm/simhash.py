@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lapsekit.llm.buffers import parts, text_bytes
+from lapsekit.llm.buffers import parts, text_bytes, tidy
 from lapsekit.llm.components import components
 from lapsekit.llm.skew import look_up
 from lapsekit.llm.words import mixed
@@ -164,7 +164,7 @@ def fingerprint_links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     def compared(keyed: DataFrame) -> DataFrame:
         placed = keyed.select("key", "fp").repartition("key").sortWithinPartitions("key")
-        return placed.mapInArrow(_compared, "a bigint, b bigint").distinct()
+        return placed.mapInArrow(tidy(_compared), "a bigint, b bigint").distinct()
 
     keyed = _first_keys(fps)
     masks = {bit: fixed for bit, fixed in variants(0)}
@@ -188,7 +188,7 @@ def fingerprint_links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
             again = again.select(F.col("key").alias("path"), of_bit.alias("fixed"), "fp")
         else:
             again = again.select(F.col("key").alias("path"), "fixed", "fp")
-        refined = again.mapInArrow(_refined, "path bigint, fixed bigint, fp bigint")
+        refined = again.mapInArrow(tidy(_refined), "path bigint, fixed bigint, fp bigint")
         rest = F.col("fp").bitwiseAND(F.col("fixed"))
         keyed = stage(refined.select(F.xxhash64("path", rest).alias("key"), "fixed", "fp"), "simhash-keys")
     every = found[0]
@@ -207,7 +207,7 @@ def simhash_components(df: DataFrame, key: str = "doc_id", text: str = "text", l
     """
     slim = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = slim.schema["key"].dataType.simpleString()
-    rows = stage(slim.mapInArrow(_fingerprints, f"key {kind}, fp bigint"), "fingerprints")
+    rows = stage(slim.mapInArrow(tidy(_fingerprints), f"key {kind}, fp bigint"), "fingerprints")
     fps = stage(rows.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     labels = components(fingerprint_links(fps.select("fp"), limit)).withColumnRenamed("v", "fp")
     of_label = labels.join(fps, "fp").groupBy("label").agg(F.min("least").alias("component"))
