@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lapsekit.session import stage
+
 
 def last_state(
     probes: DataFrame, events: DataFrame, keys: Sequence[str], time: str, state: str, bucket: int, inclusive: bool = True
@@ -29,7 +31,8 @@ def last_state(
     points = known(probes).select(*keys, time).distinct().withColumn("_order", F.lit(1)).withColumn("_state", F.lit(None))
     changes = known(events).select(*keys, time, F.lit(0 if inclusive else 2).alias("_order"), F.col(state).alias("_state"))
     points = points.withColumn("_state", F.col("_state").cast(events.schema[state].dataType))
-    line = points.unionByName(changes).withColumn("_slot", slot(F.col(time)))
+    # Both the look back and the carry start from it.
+    line = stage(points.unionByName(changes).withColumn("_slot", slot(F.col(time))), "asof-line")
 
     def latest(within: Sequence[str], order: Sequence[str | Column], end: int) -> Column:
         return F.last("_state", ignorenulls=True).over(

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lapsekit.llm import urls
 from lapsekit.llm.asof import last_state
+from lapsekit.session import stage
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
@@ -74,6 +75,8 @@ def url_verdicts(captures: DataFrame, entries: DataFrame, bucket: int = HOUR) ->
         rows.select("url", "at").dropna().distinct()
         .withColumn("_key", F.explode(url_keys(F.col("url")))).select("url", "at", "_key.level", "_key.key")
     )
+    # Keys are worked out once: they are looked up and joined back.
+    asked = stage(asked, "asked-keys")
     intervals = validity_intervals(entries, bucket).withColumn("entry", F.struct("action", F.col("at").alias("since"), "until"))
     at_fetch = last_state(asked, intervals, ["level", "key"], "at", "entry", bucket)
     active = at_fetch.filter(

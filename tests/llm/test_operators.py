@@ -7,13 +7,15 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lapsekit.llm import arrays, exact_dedup, golomb, license_scan, mixing, near_dedup, packing, pii, quality, sharding
+import corpus_pipeline
+from lapsekit.llm import arrays, check_sql, exact_dedup, golomb, license_scan, mixing, near_dedup, packing, pii, quality, sharding
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, key string, hash int, kept string, shard string, digest string, length string, words string, unit string, v string, band string, copies int"
 CARD, IBAN = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00"
@@ -457,6 +459,40 @@ def test_near_duplicates(real):
         assert r["class_id"] == root(r["doc_id"]) and r["kept"] == (r["class_id"] == r["doc_id"])
 
 
+def test_pipeline_against_brute_force(spark):
+    """Stage by stage from the rules: equal texts, all pairs, the mixing SQL, and every piece's ids."""
+    folder = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = {r["doc_id"]: r for r in table.collect()}
+    good = [r["doc_id"] for r in quality.quality_scores(table).filter("kept").collect()]
+    last = {}
+    for i in sorted(good):
+        last[re.sub("[A-Z]", lambda m: m[0].lower(), docs[i]["text"] or "")] = i
+    left, bags = sorted(last.values()), {}
+    for i in left:
+        bags[i] = shingles(docs[i]["text"])
+    label = {i: i for i in left}
+    for i, j in itertools.combinations(left, 2):
+        if label[i] != label[j] and (bags[i] == bags[j] or weighted(bags[i], bags[j]) >= 0.8):
+            low, high = sorted((label[i], label[j]))
+            label = {k: low if v == high else v for k, v in label.items()}
+    kept = sorted(set(label.values()))
+    assert 0 < len(kept) < len(left) <= len(good) < len(docs)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(i, docs[i]["text"], docs[i]["source"]) for i in kept])
+    copies = {i: taken // size for i, size, taken in con.sql(f"SELECT doc_id, size, taken FROM ({check_sql.MIXING})").fetchall()}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    expected = Counter()
+    for i, n in copies.items():
+        ids = np.array(tokenizer.encode(docs[i]["text"], add_special_tokens=False).ids + [0], "<u4")
+        for piece, (start, length) in enumerate(packing.piece_bounds(len(ids))):
+            expected[i, piece, start, length, zlib.crc32(ids[start : start + length].tobytes())] += int(n)
+    rows = corpus_pipeline.run(spark, folder).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == +expected
+    check_sequences(rows)
+
+
 def test_members_apart_are_linked(spark):
     """A chain: every text is similar to its neighbours only, whichever is the centre."""
     words = [f"w{i}" for i in range(400)]
