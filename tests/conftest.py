@@ -5,11 +5,12 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from lapsekit.session import local_session  # noqa: E402
+from lapsekit.session import discard_staged, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("8", shuffle_partitions=4, app="tests")
     yield session
+    discard_staged(session)
     session.stop()
