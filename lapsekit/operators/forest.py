@@ -150,9 +150,9 @@ def permutation_importance(forest: Forest, rows: DataFrame, *, key: str = JOURNE
     """
     gains = forest.model.stages[-1].featureImportances.toArray()
     used = {column: name for column, name, gain in zip(forest.inputs(), forest.features, gains) if gain > 0}
-    spark = rows.sparkSession
-    unused = [(name, 0.0) for name in forest.features if name not in used.values()]
-    zero = spark.createDataFrame(unused, "variable string, importance double")
+    one = rows.sparkSession.range(1)
+    unused = F.array(*(F.lit(name) for name in forest.features if name not in used.values())).cast("array<string>")
+    zero = one.select(F.explode(unused).alias("variable"), F.lit(0.0).alias("importance"))
     if not used:
         return zero.orderBy("variable")
     assembler, trees = forest.model.stages[-2:]
@@ -169,7 +169,8 @@ def permutation_importance(forest: Forest, rows: DataFrame, *, key: str = JOURNE
 
     found = importance.permutation_importance(prepared, list(used), score, label=forest.label, key=key, seed=seed)
     # One row per feature.
-    names = spark.createDataFrame(list(used.items()), "column string, name string")
+    pairs = F.array(*(F.struct(F.lit(column).alias("column"), F.lit(name).alias("name")) for column, name in used.items()))
+    names = one.select(F.explode(pairs).alias("pair")).select("pair.*")
     named = found.join(F.broadcast(names), F.col("variable") == F.col("column")).select(F.col("name").alias("variable"), "importance")
     return named.unionByName(zero).orderBy(F.desc("importance"), "variable")
 

@@ -16,12 +16,9 @@ MAX_LOCAL_LEVELS = 10_000
 
 
 def join_small(df: DataFrame, lookup: DataFrame, on: str) -> DataFrame:
-    """Left join to a lookup: broadcast if it is shown to be small, else shuffled."""
-    spark = df.sparkSession
-    rows = lookup.limit(MAX_LOCAL_LEVELS + 1).collect()
-    if len(rows) > MAX_LOCAL_LEVELS:
-        return df.join(stage(lookup, "lookup"), on, "left")
-    return df.join(F.broadcast(spark.createDataFrame(rows, lookup.schema)), on, "left")
+    """Left join to a lookup, written once and counted: broadcast if it is small, else shuffled."""
+    stored = stage(lookup, "lookup")
+    return df.join(F.broadcast(stored) if stored.count() <= MAX_LOCAL_LEVELS else stored, on, "left")
 
 
 def level_rates(train: DataFrame, keys: Sequence[str], label: str = LABEL) -> tuple[float, dict[str, DataFrame]]:
