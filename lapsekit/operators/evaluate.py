@@ -130,7 +130,7 @@ def metrics(
 
 
 def tier_cuts(scored: DataFrame, score: str = SCORE) -> tuple[float | None, float | None]:
-    """Terciles of the score; several passes, so ``scored`` should be a stored table."""
+    """Terciles of the score; two passes, so ``scored`` should be a stored table."""
     first, second = exact_quantiles(scored, score, [Fraction(1, 3), Fraction(2, 3)])
     return first, second
 
