@@ -30,7 +30,8 @@ LEAST_OWNERS = 24
 #: Bits of a fingerprint beyond those that number the texts: a chance pair in 2 ** 14 texts is a suspect too many.
 SPARE_BITS = 14
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Digests up to this number (32 bytes each) are sent to all executors to find the suspects' texts; more are joined.
+#: Digests up to this number (32 bytes each) are sent to all executors to find the suspects' texts, and groups to find
+#: their rows; of more groups those with this part of all rows or a larger one, which can't be more, and the rest is joined.
 BROADCAST_DIGESTS = 500_000
 
 _ROWS = "key string, digest binary, sender bigint, block int, owner int, at int, twin boolean, size int, remainder int, payload binary"
@@ -158,6 +159,29 @@ def duplicate_groups(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     return rows, verified
 
 
+def _with_group(rows: DataFrame, groups: DataFrame, digest: str, spread: Column) -> DataFrame:
+    """``rows`` with (_digest, _keep, _size) of their group, null for a text that stands once.
+
+    No group is dealt to one task: large ones meet their rows where those are.
+    """
+    groups = groups.select(F.col("digest").alias("_digest"), F.col("keep_key").alias("_keep"), F.col("group_size").alias("_size"))
+    groups = stage(groups, "duplicate-keys")
+    own = F.col(digest) == F.col("_digest")
+    totals = groups.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("_size"), F.lit(0)).alias("rows")).first()
+    if totals["groups"] <= BROADCAST_DIGESTS:
+        return rows.join(F.broadcast(groups), own, "left")
+    large = F.col("_size") * BROADCAST_DIGESTS >= totals["rows"]
+    found = rows.join(F.broadcast(groups.filter(large)), own, "left")
+    rest = groups.filter(~large).toDF("_digest2", "_keep2", "_size2")
+    # Rows that have their group go anywhere: eight bytes equal no digest.
+    to = F.when(F.col("_digest").isNull(), F.col(digest)).otherwise(F.unhex(F.lpad(F.hex(F.xxhash64(spread)), 16, "0")))
+    both = found.join(rest, to == F.col("_digest2"), "left")
+    return both.select(
+        *(F.col(name) for name in rows.columns),
+        *(F.coalesce(name, f"{name}2").alias(name) for name in ("_digest", "_keep", "_size")),
+    )
+
+
 def exact_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``df``: key, keep_id, group_size, kept, text_sha256.
 
@@ -166,11 +190,10 @@ def exact_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     empty ones. An empty table gives no row. Other columns are left out.
     """
     rows, groups = duplicate_groups(df, key, text)
-    joined = rows.join(groups, "digest", "left")
-    alone = F.col("group_size").isNull()
-    keep = F.when(alone, F.col("key")).otherwise(F.col("keep_key"))
+    joined = _with_group(rows, groups, "digest", F.col("key"))
+    keep = F.when(F.col("_digest").isNull(), F.col("key")).otherwise(F.col("_keep"))
     return joined.select(
-        F.col("key").alias(key), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
+        F.col("key").alias(key), keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("bigint").alias("group_size"),
         F.col("key").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
@@ -178,11 +201,10 @@ def exact_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") ->
 def drop_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, its columns unchanged; of rows repeated with one key and one text, one."""
     _, groups = duplicate_groups(df, key, text)
-    groups = stage(groups.select(F.col("digest").alias("_digest"), F.col("keep_key").alias("_keep")), "duplicate-keys")
-    if groups.count() <= BROADCAST_DIGESTS:
-        groups = F.broadcast(groups)
-    digest = F.unhex(F.sha2(normalised(F.col(text)), 256))
-    joined = df.withColumn("_own", digest).join(groups, F.col("_own") == F.col("_digest"), "left")
-    alone = joined.filter("_digest IS NULL").select(*df.columns)
-    first = joined.filter(F.col(key).eqNullSafe(F.col("_keep")) & F.col("_digest").isNotNull()).dropDuplicates(["_digest"])
-    return alone.unionByName(first.select(*df.columns))
+    own = F.unhex(F.sha2(normalised(F.col(text)), 256))
+    # Whole rows in one column, so that no name of theirs can clash.
+    whole = df.select(F.struct(*(F.col(f"`{name}`") for name in df.columns)).alias("row"), F.col(key).alias("key"), own.alias("own"))
+    joined = _with_group(whole, groups, "own", F.col("key"))
+    alone = joined.filter("_digest IS NULL").select("row.*")
+    first = joined.filter(F.col("key").eqNullSafe(F.col("_keep")) & F.col("_digest").isNotNull()).dropDuplicates(["_digest"])
+    return alone.unionByName(first.select("row.*"))

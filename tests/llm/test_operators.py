@@ -309,7 +309,9 @@ def test_golomb_round_trip():
         assert (golomb.decode(golomb.encode(values, bits), len(values), bits) == values).all()
 
 
-def test_exact_duplicates(docs):
+@pytest.mark.parametrize("sent", [500_000, 2, 0], ids=["all groups sent", "large ones sent", "all joined"])
+def test_exact_duplicates(docs, monkeypatch, sent):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_DIGESTS", sent)
     texts = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
     fold = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
     groups = defaultdict(list)
@@ -322,6 +324,38 @@ def test_exact_duplicates(docs):
     assert exact_dedup.drop_duplicates(docs).count() == len(groups)
 
 
+@pytest.mark.parametrize("sent", [500_000, 20])
+def test_a_large_group_of_copies_is_dealt_to_no_single_task(spark, monkeypatch, sent):
+    """A third of the rows have one text; with more groups than are sent, that one still is."""
+    monkeypatch.setattr(exact_dedup, "BROADCAST_DIGESTS", sent)
+    df = spark.range(0, 3_000, 1, 6).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 1_000).cast("string")).alias("text"),
+        *(F.col("id").alias(name) for name in ("_digest", "_keep", "_size", "row", "key", "own")),
+    )
+    expected = defaultdict(list)
+    for r in df.collect():
+        expected[r["text"]].append(r["doc_id"])
+    kept = exact_dedup.drop_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(max(own) for own in expected.values())
+    out = exact_dedup.exact_duplicates(df)
+    sizes = Counter(r["group_size"] for r in out.collect())
+    assert sizes == Counter(len(own) for own in expected.values() for _ in own)
+    if sent == 20:
+        # With adaptive execution and unasked broadcasts off, the parts are as the exchange dealt them.
+        settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+        before = {name: spark.conf.get(name) for name in settings}
+        try:
+            for name, value in settings.items():
+                spark.conf.set(name, value)
+            parts = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        finally:
+            for name, value in before.items():
+                spark.conf.set(name, value)
+        assert len(parts) == 4
+        assert sum(parts) == 3_000 and max(parts) < 1.3 * 3_000 / 4
+
+
 def license_base(text):
     words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     starts = [(i, label) for p, label in license_scan.BASE.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
