@@ -27,6 +27,10 @@ from lapsekit.settings import FEATURES, JOURNEY, LABEL, LUMP_LIMITS, SEED
 # Training rows are dealt to this many tasks at least, and to one more for each further number of rows.
 # Both are fixed, so that the forest follows from its rows and its seed, whatever cluster fits it.
 LEAST_PARTITIONS, ROWS_PER_PARTITION = 16, 250_000
+# A task that scores unpacks all trees first, so it gets this many rows at least; the most bounds what a lost task costs.
+LEAST_SCORED, MOST_SCORED = 1_000, 50_000
+# A checkpoint of the node ids (a number per training row and tree) is only worth its writing when very many passes follow.
+PASSES_PER_CHECKPOINT = 100
 
 
 @dataclass(frozen=True)
@@ -109,7 +113,7 @@ def fit_trees(training: Training, settings: ForestSettings = ForestSettings()) -
         featureSubsetStrategy=str(max(1, math.floor(math.sqrt(len(training.features))))),
         maxBins=max(32, training.most_levels),
         cacheNodeIds=True,
-        checkpointInterval=10,
+        checkpointInterval=PASSES_PER_CHECKPOINT,
         maxMemoryInMB=512,
         seed=settings.seed,
     ).fit(training.rows)
@@ -128,6 +132,21 @@ def train_forest(
     return fit_trees(prepare_training(train, features, label, key), settings)
 
 
+def scoring_tasks(rows: int, slots: int) -> int:
+    """Rounds in which every slot has a task of at most ``MOST_SCORED`` rows; fewer tasks if there are few rows."""
+    rounds = -(-rows // (MOST_SCORED * slots))
+    return max(1, min(rounds * slots, -(-rows // LEAST_SCORED)))
+
+
+def dealt_evenly(rows: DataFrame) -> DataFrame:
+    """``rows``, which should be a stored table, in equal shares for ``score``.
+
+    A stored table is small for what its rows cost to score, so its files make few
+    and unequal tasks. The shares are by place: neither a key nor the files count.
+    """
+    return rows.repartition(scoring_tasks(rows.count(), rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def score(forest: Forest, rows: DataFrame) -> DataFrame:
     """``rows`` with the probability of a long gap."""
     scored = forest.model.transform(rows).withColumn(SCORE, vector_to_array("probability")[1])

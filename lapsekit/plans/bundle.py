@@ -42,5 +42,6 @@ def score_journeys(bundle: Bundle, journeys: DataFrame) -> DataFrame:
     """
     label = [bundle.forest.label] if bundle.forest.label in journeys.columns else []
     rows = bundle.lumping.apply(journeys.select(JOURNEY, PATIENT, *label, *FEATURES))
-    scored = forest.score(bundle.forest, rows.na.drop("any", subset=list(bundle.forest.features)))
+    complete = rows.na.drop("any", subset=list(bundle.forest.features))
+    scored = forest.score(bundle.forest, forest.dealt_evenly(complete))
     return evaluate.with_risk_tier(scored.select(JOURNEY, PATIENT, *label, evaluate.SCORE), cuts=bundle.cuts)

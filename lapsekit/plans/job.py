@@ -146,7 +146,7 @@ def write_model(journeys: DataFrame, output: str, settings: JobSettings = JobSet
     features = varying_features(rows, label)
     fitted = forest.train_forest(train, features, label=label, settings=settings.trees)
 
-    scored = stage(forest.score(fitted, test), "scored")
+    scored = stage(forest.score(fitted, forest.dealt_evenly(test)), "scored")
     bundle = Bundle(fitted, lumping, evaluate.tier_cuts(scored))
     save_bundle(bundle, f"{output}/model", rows.sparkSession)
     tiered = write_table(evaluate.with_risk_tier(scored, cuts=bundle.cuts), f"{output}/scored_journeys")
